@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,15 +75,17 @@ def batches_with(batches: Iterable, rows: int):
             yield batch.slice(i, rows)
 
 
-def add_columns(df: DataFrame, kernel, fields: str, text: str) -> DataFrame:
+def add_columns(df: DataFrame, kernel, fields: str, text: str, lower: bool = False, limit: int | None = None) -> DataFrame:
     """``df`` with the columns that ``kernel`` computes from each text.
 
     ``kernel(block)`` gets a :class:`~kinweave.llm.textvec.Block` and returns
     arrays in the order of ``fields`` (a DDL string).  A result replaces an
     input column of the same name (compared without case, as Spark does).
     Runs partition by partition with no shuffle; a null text counts as empty.
+    ``lower``: the kernel sees lower-cased texts.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
@@ -98,10 +101,18 @@ def add_columns(df: DataFrame, kernel, fields: str, text: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for block in textvec.blocks(batch.column(at)):
+            column = textvec.strings(batch.column(at))
+            for block in textvec.blocks(pc.utf8_lower(column) if lower else column, limit or textvec.BLOCK):
                 new = [x if isinstance(x, pa.Array) else pa.array(x) for x in kernel(block)]
                 new = [x if x.type == t else x.cast(t) for x, t in zip(new, types, strict=True)]
                 old = [batch.column(i).slice(block.first, block.n) for i in keep]
                 yield pa.RecordBatch.from_arrays(old + new, names=names)
 
     return df.mapInArrow(run, schema)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like :func:`cut`, as a compressed Parquet table in the same shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from kinweave.llm import linededup, mixing, quality, urlfilter
+from kinweave.llm import decontam, linededup, mixing, neardup, quality, suffix_dedup, urlfilter
 
 QUERIES = {
+    "op1_near_dedup": neardup.op1_near_dedup,
     "op4_line_dedup": linededup.op4_line_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_source_mix": mixing.op6_source_mix,
+    "op7_substring_dedup": suffix_dedup.op7_substring_dedup,
+    "op8_decontaminate": decontam.op8_decontaminate,
     "op9_url_filter": urlfilter.op9_url_filter,
 }
 

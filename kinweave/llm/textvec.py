@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 21
+ROWS = 1 << 14
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -138,7 +139,7 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[Block]:
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1), i + ROWS, len(column))
         yield Block(i, raw[off[i] : off[j]], off[i : j + 1] - off[i])
         i = j
 
