@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from kinweave.llm import decontam, linededup, mixing, neardup, quality, suffix_dedup, urlfilter
+from kinweave.llm import decontam, htmltext, linededup, mixing, neardup, quality, suffix_dedup, urlfilter
 
 QUERIES = {
     "op1_near_dedup": neardup.op1_near_dedup,
+    "op2_html_text": htmltext.op2_html_text,
     "op4_line_dedup": linededup.op4_line_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_source_mix": mixing.op6_source_mix,
