@@ -98,3 +98,11 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+
+def keep_lines(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with the repeated lines gone from the text, and ``n_chars`` counted again."""
+    text = options.get("text", "text")
+    out = dedup_lines(docs, **options)
+    new = {text: F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return out.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))

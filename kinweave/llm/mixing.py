@@ -147,11 +147,11 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     out = placed.join(taken.drop("id"), ["place", "tie"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
     # rows equal in id and text share what they take
     share = F.floor(F.col("taken") / F.col("twins")) + F.when(F.col("twin") <= F.col("taken") % F.col("twins"), 1).otherwise(0)
-    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), share.cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), share.cast("long").alias("taken"))
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken_words(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return taken_words(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
 
 
 OP6_SQL = r"""
@@ -178,3 +178,9 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
        CASE WHEN source_size = 0 THEN 0 ELSE CAST(size * (goal // source_size) + greatest(0, least(size, goal % source_size - start)) AS BIGINT) END AS taken
 FROM placed
 """
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) of the documents that the mix takes words from."""
+    out = taken_words(docs, **options)
+    return out.filter("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken")
