@@ -16,11 +16,12 @@ exact weighted Jaccard similarity.
 Links, not pairs: texts with the same words are one node from the start.  In
 each bucket all members are compared with its least and its greatest node,
 which a map-side ``min`` and ``max`` find; verified links form components.
-Then, only in buckets that still hold several components, every node outside
-the largest one is compared with all nodes of other components, through a
-skew-split equi-join that emits only pairs whose samples agree on 55 %.  So a
-bucket that a third of all rows share costs one comparison a row, no bucket is
-capped, and links between different texts are found wherever they meet.
+Then, only in buckets that still hold several components, the nodes outside
+the largest one meet all nodes of other components, block by block: blocks of
+128 texts join on the bucket, a kernel compares them, and only links become
+rows.  So a bucket of copies that a third of all rows share costs one
+comparison a row, no bucket is capped, and links between different texts are
+found wherever they meet.
 
 Defined results: words are runs of letters and digits, lower-cased; a text of
 one to four words has one shingle of them all; a text without words (null,
@@ -47,6 +48,7 @@ UNIT = 32  # weights are multiples of 1/UNIT
 MIN_SIMILARITY = 0.8
 _BITS, _PIECE = 18, 1024
 _LIMIT = 1 << 18
+_MEET = 128  # texts in a block of a bucket
 
 
 def shingles(block: tv.Block, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -266,6 +268,32 @@ def _verified(pairs: DataFrame, docs: DataFrame, model, doc_id: str, text: str,
     return both.select("a", "b", "va", "vb").mapInArrow(judge, f"a {ids}, b {ids}, similarity double").filter(F.col("similarity") >= threshold)
 
 
+def _meeting(threshold: float):
+    """Links between two blocks of a bucket: of each pair of components there, the first pair of texts at the threshold."""
+
+    def meet(batches):
+        for batch in batches:
+            ids = batch.column(1).type.value_type.field("id").type
+            a, b = [], []
+            for band, xs, ys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                kx, ky = (np.array([r["keys"] for r in side], np.int64) for side in (xs, ys))
+                wx, wy = (np.array([np.frombuffer(r["v"], np.uint8)[len(r["v"]) // 5 * 4 :].sum(dtype=np.int64) for r in side], float) for side in (xs, ys))
+                # a pair that meets in several bands is compared in the first
+                first = np.argmax(kx[:, None] == ky[None], 2) == band
+                near = np.minimum(wx[:, None], wy[None]) >= threshold * np.maximum(wx[:, None], wy[None])
+                done = set()
+                for i, j in np.argwhere(first & near).tolist():
+                    x, y = xs[i], ys[j]
+                    pair = (x["root"], y["root"])
+                    if x["root"] != y["root"] and (y["big"] or x["id"] < y["id"]) and pair not in done and similarity(x["v"], y["v"]) >= threshold:
+                        done.add(pair)
+                        a.append(min(x["id"], y["id"]))
+                        b.append(max(x["id"], y["id"]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, ids), pa.array(b, ids)], names=["a", "b"])
+
+    return meet
+
+
 def _agree(x: str, y: str, share: float):
     same = F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda s: s))
     return same >= int(share * SAMPLES)
@@ -293,15 +321,19 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     of = member.select("band", "key", "id").join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     many = of.groupBy("band", "key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("band", "key")
     of = of.join(many, ["band", "key"])
-    largest = of.groupBy("band", "key", "root").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
-    of = cut(of.join(largest, ["band", "key"]).join(sig, "id"))
-    x = of.filter("root <> largest").select("band", "key", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("sig").alias("sx"))
-    y = of.select("band", "key", F.col("id").alias("y"), F.col("root").alias("ry"), F.col("sig").alias("sy"), "largest")
-    met = x.join(y, ["band", "key"]).filter((F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("largest")) | (F.col("x") < F.col("y"))) & _agree("sx", "sy", 0.55))
-    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    met = cut(met)
-    if not met.isEmpty():
-        more = cut(_verified(met, docs, model, doc_id, text, threshold).select("a", "b"))
+    largest = of.groupBy("band", "key", "root").agg(F.count("*").alias("n")).groupBy("band", "key").agg(
+        F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    of = cut(of.join(largest, ["band", "key"]))
+    if not of.isEmpty():
+        v = _vectors(docs, of.select("id").distinct(), model, doc_id, text)
+        member = of.join(node.select("id", bands.alias("keys")), "id").join(v, "id").withColumn("big", F.col("root") == F.col("largest"))
+        item = F.collect_list(F.struct("id", "root", "big", "keys", "v"))
+        block = lambda n: F.pmod(F.xxhash64("id"), F.ceil(n / F.lit(_MEET))).alias("block")
+        x = member.filter("not big").groupBy("band", "key", block(F.col("n") - F.col("most"))).agg(item.alias("xs"))
+        y = member.groupBy("band", "key", block(F.col("n"))).agg(item.alias("ys"))
+        met = x.select("band", "key", "xs").join(y.select("band", "key", "ys"), ["band", "key"]).select("band", "xs", "ys")
+        ids = docs.schema[doc_id].dataType.simpleString()
+        more = cut(met.mapInArrow(_meeting(threshold), f"a {ids}, b {ids}").distinct())
         if not more.isEmpty():
             root = components(links.unionByName(more))
 
