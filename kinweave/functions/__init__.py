@@ -1 +1 @@
-"""."""
+"""Column functions and similarity kernels."""

@@ -1 +1 @@
-"""."""
+"""Blocking, features, windows, decisions, rules, models and assembly: DataFrame to DataFrame."""

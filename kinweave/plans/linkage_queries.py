@@ -1,10 +1,533 @@
-"""Record-linkage queries by name, and the SQL that states their rows."""
+"""Record-linkage queries by name.  SQL that states their rows is in :mod:`kinweave.plans.linkage_sql`."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kinweave.functions import kernels as kn
+from kinweave.functions import text as t
+from kinweave.operators import assemble, blocking, decide, models, pairs, rules, windows
+from kinweave.plans.linkage_sql import SQL as _SQL
+from kinweave.sources import records as r
+
+SQL = dict(_SQL)
 QUERIES: dict = {}
-SQL: dict[str, str] = {}
 
 
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _sides(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return table.filter("src = 1"), table.filter("src > 1")
+
+
+def _content_truth(docs: DataFrame) -> DataFrame:
+    """(q_id, p_id): equal texts in one country; the least query owns a pool record."""
+    q, p = _sides(docs)
+    owner = q.groupBy("country", "content").agg(F.min("doc_id").alias("q"))
+    return p.join(owner, ["country", "content"]).select(F.concat(F.lit("S1-"), "q").alias("q_id"), F.col("entity_id").alias("p_id"))
+
+
+def _line_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return line.filter("l_quantity >= 25").select(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("p")).distinct()
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("q"))
+
+
+def _round(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+# --- text
+
+@query
+def text_fold_ascii(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", t.fold("text").alias("folded"))
+
+
+@query
+def text_tokens(spark, sf_dir):
+    d = r.document_records(spark, sf_dir)
+    return d.select("doc_id", t.norm_name("name").alias("norm_name"), F.size(t.name_tokens("name")).cast("long").alias("n_tokens"))
+
+
+@query
+def text_char3(spark, sf_dir):
+    d = r.document_records(spark, sf_dir)
+    return d.select("doc_id", F.size(t.char3(t.fold("name"))).cast("long").alias("n_char3"))
+
+
+@query
+def core_keys(spark, sf_dir):
+    d = r.document_records(spark, sf_dir)
+    return d.select("doc_id", F.array_join(t.core_key("name"), " ").alias("core_key"))
+
+
+@query
+def packed_ids(spark, sf_dir):
+    return r.document_records(spark, sf_dir).select("doc_id", t.packed_id("entity_id").alias("packed"))
+
+
+@query
+def street_parse(spark, sf_dir):
+    d = r.part_records(spark, sf_dir)
+    return d.select("doc_id", kn.street_number_udf("address").alias("num"), kn.street_name_udf("address").alias("street"), t.norm_addr("address").alias("norm_addr"))
+
+
+@query
+def skeleton_text(spark, sf_dir):
+    d = r.document_records(spark, sf_dir)
+    return d.select("doc_id", kn.skeleton_udf("name").alias("skeleton"), kn.name_skeleton_udf("name").alias("name_skeleton"))
+
+
+# --- sources
+
+@query
+def ground_truth(spark, sf_dir):
+    """Truth as comma lists, exploded again."""
+    d = r.document_records(spark, sf_dir)
+    q, _ = _sides(d)
+    lists = r.match_lists(q.select(F.col("entity_id").alias("q_id")), _content_truth(d), [F.col("p_id")])
+    return r.explode_truth(lists.withColumnRenamed("q_id", "source1_entity_id"))
+
+
+@query
 def match_lists(spark, sf_dir):
-    raise NotImplementedError
+    """Flagship: pool records with one query of their core key, each to its owner, as comma lists."""
+    d = r.document_records(spark, sf_dir).select("entity_id", "src", "country", t.core_key("name").alias("key")).filter("key is not null")
+    q, p = _sides(d)
+    owner = q.groupBy("country", "key").agg(F.count("*").alias("n"), F.first("entity_id").alias("q_id")).filter("n = 1")
+    found = p.join(owner, ["country", "key"]).select("q_id", F.col("entity_id").alias("p_id"))
+    return r.match_lists(r.document_records(spark, sf_dir).filter("src = 1").select(F.col("entity_id").alias("q_id")), found, [F.col("p_id")])
+
+
+@query
+def country_counts(spark, sf_dir):
+    return r.document_records(spark, sf_dir).groupBy("country").agg(F.count("*").alias("n"))
+
+
+# --- blocking
+
+@query
+def term_df_idf(spark, sf_dir):
+    _, p = _sides(r.document_records(spark, sf_dir))
+    terms = blocking.term_table(p)
+    out = blocking.document_frequency(terms, p.groupBy("country").agg(F.count("*").alias("n")))
+    return _round(out, "idf")
+
+
+@query
+def tfidf_topk(spark, sf_dir):
+    q, p = _sides(r.document_records(spark, sf_dir))
+    return blocking.tfidf_topk(q, p, 10)
+
+
+@query
+def dense_topk(spark, sf_dir):
+    q, p = _vectors(spark, sf_dir)
+    return blocking.dense_topk(q, p, 10)
+
+
+def _vectors(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    return v.filter("id % 5 = 0"), v.filter("id % 5 <> 0")
+
+
+@query
+def recall_at_k(spark, sf_dir):
+    """Of each query vector's ten neighbours: how often the first k hold one of its label."""
+    q, p = _vectors(spark, sf_dir)
+    label = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
+    top = blocking.dense_topk(q, p, 10).join(label.select(F.col("vec_id").alias("q_id"), F.col("label").alias("ql")), "q_id").join(label.select(F.col("vec_id").alias("p_id"), F.col("label").alias("pl")), "p_id")
+    first = top.filter("ql = pl").groupBy("q_id").agg(F.min("rank").alias("first"))
+    every = q.select(F.col("id").alias("q_id")).join(first, "q_id", "left").withColumn("first", F.coalesce("first", F.lit(99)))
+    k = F.explode(F.array(*(F.lit(n).cast("long") for n in (1, 5, 10)))).alias("k")
+    hit = every.select("first", k).groupBy("k").agg(F.avg((F.col("first") < F.col("k")).cast("double")).alias("recall"))
+    return _round(hit, "recall")
+
+
+@query
+def candidate_union(spark, sf_dir):
+    """Ten candidates by name words and by address words, joined."""
+    q, p = _sides(r.document_records(spark, sf_dir))
+    a = blocking.tfidf_topk(q, p, 10, t.name_tokens("name", strip_suffix=False))
+    b = blocking.tfidf_topk(q, p, 10, t.tokens(t.fold("address")))
+    return blocking.candidate_union(a, b, 8, 8)
+
+
+@query
+def retrieval_features(spark, sf_dir):
+    return _round(pairs.retrieval_features(candidate_union(spark, sf_dir)), "bi_gap", "l_gap")
+
+
+@query
+def sampling(spark, sf_dir):
+    """At most 20 documents of each language, in hash order."""
+    return blocking.first_by_hash(r.document_records(spark, sf_dir), 20, "country").select("doc_id", "country")
+
+
+# --- similarity kernels over pairs of part names that share a word
+
+def _name_pairs(spark, sf_dir):
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("name")).distinct()
+    word = names.select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
+    return word.select("word", F.col("name").alias("a")).join(word.select("word", F.col("name").alias("b")), "word").filter("a < b").select("a", "b").distinct()
+
+
+@query
+def jaccard_pairs(spark, sf_dir):
+    p = _name_pairs(spark, sf_dir)
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    p = p.select("a", "b", t.jaccard(words("a"), words("b")).alias("words"), t.jaccard(t.char3(F.col("a")), t.char3(F.col("b"))).alias("char3"))
+    return _round(p, "words", "char3")
+
+
+@query
+def levenshtein_pairs(spark, sf_dir):
+    return _name_pairs(spark, sf_dir).select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"))
+
+
+@query
+def jaro_winkler_pairs(spark, sf_dir):
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(kn.jaro_winkler_udf("a", "b"), 6).alias("similarity"))
+
+
+@query
+def ratio_pairs(spark, sf_dir):
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(kn.ratio_udf("a", "b"), 6).alias("similarity"), F.round(kn.token_sort_ratio_udf("a", "b"), 6).alias("sorted_similarity"))
+
+
+@query
+def token_set_pairs(spark, sf_dir):
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(kn.token_set_ratio_udf("a", "b"), 6).alias("similarity"))
+
+
+@query
+def partial_pairs(spark, sf_dir):
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(kn.partial_ratio_udf("a", "b"), 6).alias("similarity"))
+
+
+@query
+def pair_features(spark, sf_dir):
+    """All 50 record features of the TF-IDF candidates of the documents."""
+    q, p = _sides(r.document_records(spark, sf_dir))
+    f = pairs.pair_features(blocking.tfidf_topk(q, p, 5), q, p)
+    return f.select("q_id", "p_id", *(F.round(c, 6).alias(c) for c in f.columns[2:]))
+
+
+# --- windows and decisions over lineitem
+
+@query
+def rank_gap(spark, sf_dir):
+    return _round(windows.rank_gap(r.scored_pairs(spark, sf_dir)), "gap")
+
+
+@query
+def rank_gap_ties(spark, sf_dir):
+    """The same with eleven distinct scores."""
+    return _round(windows.rank_gap(r.scored_pairs(spark, sf_dir, ties=True)), "s", "gap")
+
+
+@query
+def contention_features(spark, sf_dir):
+    return _round(windows.contention(r.scored_pairs(spark, sf_dir), 8), "gap", "gap_next")
+
+
+@query
+def contention_lookup(spark, sf_dir):
+    s = r.scored_pairs(spark, sf_dir)
+    return _round(windows.with_contention(s, windows.contention(s, 2)), "c_gap", "c_gap_next")
+
+
+@query
+def ce_style_features(spark, sf_dir):
+    s = r.scored_pairs(spark, sf_dir).withColumn("s", F.round(F.col("s") * 10 - 5, 2))
+    return _round(windows.logit_features(s), "s", "ce_gap_best", "ce_margin", "ce_mean_q")
+
+
+@query
+def stage2_context(spark, sf_dir):
+    return _round(windows.order_statistics(r.scored_pairs(spark, sf_dir)), "s2_gap1", "s2_sump")
+
+
+@query
+def stage2_similarities(spark, sf_dir):
+    """Context similarities of the documents' TF-IDF candidates."""
+    q, p = _sides(r.document_records(spark, sf_dir))
+    c = blocking.tfidf_topk(q, p, 8)
+    names = p.select(F.col("entity_id").alias("p_id"), F.array_join(t.name_tokens("name", strip_suffix=False), " ").alias("name"), t.norm_addr("address").alias("addr"), F.substring("entity_id", 1, 2).alias("src"))
+    out = pairs.context_similarities(c.join(names, "p_id").select(F.col("q_id").alias("q"), F.col("p_id").alias("p"), F.col("score").alias("s"), "name", "addr", "src"))
+    return _round(out, "s2_name_top1", "s2_addr_top1", "s2_name_conf", "s2_addr_conf")
+
+
+@query
+def gate_extra(spark, sf_dir):
+    return decide.gate_extra(r.scored_pairs(spark, sf_dir), 0.8, 0.5)
+
+
+@query
+def one_owner(spark, sf_dir):
+    return decide.one_owner(r.scored_pairs(spark, sf_dir))
+
+
+@query
+def gate_then_owner(spark, sf_dir):
+    return decide.one_owner(decide.gate_extra(r.scored_pairs(spark, sf_dir), 0.8, 0.5))
+
+
+@query
+def macro_f05(spark, sf_dir):
+    kept = decide.gate_extra(r.scored_pairs(spark, sf_dir), 0.6, 0.4)
+    return _round(decide.macro_f05(kept, _line_truth(spark, sf_dir), _orders(spark, sf_dir)), "macro_f05")
+
+
+@query
+def threshold_tuner(spark, sf_dir):
+    """The metric at each threshold of 0.05 ... 0.95."""
+    tuned = decide.tune_threshold(r.scored_pairs(spark, sf_dir), _line_truth(spark, sf_dir), _orders(spark, sf_dir), decide.grid(5, 95, 10))
+    return _round(tuned, "macro_f05")
+
+
+@query
+def gate_extra_tuner(spark, sf_dir):
+    """The metric over the 37 x 37 grid of gates and extras."""
+    g = decide.grid(5, 95, 25)
+    return _round(decide.tune_gate_extra(r.scored_pairs(spark, sf_dir), _line_truth(spark, sf_dir), _orders(spark, sf_dir), g, g), "macro_f05")
+
+
+@query
+def target_rate(spark, sf_dir):
+    n = _orders(spark, sf_dir).count()
+    return _round(decide.target_rate(r.scored_pairs(spark, sf_dir), n, 1.5), "rate")
+
+
+# --- names and rules
+
+@query
+def name_frequency(spark, sf_dir):
+    return _round(pairs.name_frequency(r.part_records(spark, sf_dir)), "log_n")
+
+
+@query
+def vocab_df30(spark, sf_dir):
+    q, _ = _sides(r.part_records(spark, sf_dir))
+    return rules.vocabulary(q.select(t.core_key("name").alias("key")))
+
+
+def _prepared(spark, sf_dir, pool_name=None, pool_address=None):
+    """Part records prepared for the rules; the pool's name or address may be rewritten."""
+    q, p = _sides(r.part_records(spark, sf_dir))
+    p = p.withColumn("name", pool_name if pool_name is not None else F.col("name")).withColumn("address", pool_address if pool_address is not None else F.col("address"))
+    return rules.prepared(q), rules.prepared(p)
+
+
+_SOME_BLANK = F.when(F.col("doc_id") % 7 == 0, F.lit(" ")).otherwise(F.col("address"))
+
+
+@query
+def exact_core_unique(spark, sf_dir):
+    return rules.exact_core(*_prepared(spark, sf_dir, pool_address=_SOME_BLANK))
+
+
+@query
+def number_missing(spark, sf_dir):
+    q, p = _prepared(spark, sf_dir, pool_name=F.concat("name", F.lit(" x"), F.col("doc_id") % 50), pool_address=F.regexp_replace("address", "^[0-9]+ ", ""))
+    q = rules.prepared(_sides(r.part_records(spark, sf_dir))[0].withColumn("name", F.concat("name", F.lit(" x"), F.col("doc_id") % 50)))
+    return rules.number_missing(q, p)
+
+
+@query
+def typo_tolerant(spark, sf_dir):
+    return rules.aligned(*_prepared(spark, sf_dir), "typo")
+
+
+@query
+def words_dropped(spark, sf_dir):
+    return rules.aligned(*_prepared(spark, sf_dir, pool_name=F.element_at(F.split("name", " "), 2)), "del")
+
+
+@query
+def words_added(spark, sf_dir):
+    return rules.aligned(*_prepared(spark, sf_dir, pool_name=F.concat("name", F.lit(" special"))), "add")
+
+
+@query
+def domain(spark, sf_dir):
+    squeezed = F.replace("name", F.lit(" "), F.lit(""))
+    return rules.sole_at_address(*_prepared(spark, sf_dir, pool_name=F.concat(squeezed, F.lit(".com"))), "domain")
+
+
+@query
+def acronym(spark, sf_dir):
+    w = F.split("name", " ")
+    return rules.sole_at_address(*_prepared(spark, sf_dir, pool_name=F.concat(F.substring(w[0], 1, 1), F.substring(w[1], 1, 1))), "acro")
+
+
+@query
+def pseudo_name(spark, sf_dir):
+    return rules.sole_at_address(*_prepared(spark, sf_dir, pool_name=F.when(F.col("doc_id") % 2 == 0, F.lit("zorvex")).otherwise(F.lit("plate"))), "pseudo")
+
+
+@query
+def any_relation(spark, sf_dir):
+    return rules.sole_at_address(*_prepared(spark, sf_dir), "any")
+
+
+def _part_matches(spark, sf_dir):
+    """(q_id, p_id, rank): at one address (number and street), ranked by key."""
+    q, p = _sides(r.part_records(spark, sf_dir))
+    j = q.select("address", "country", F.col("entity_id").alias("q_id")).join(p.select("address", "country", F.col("entity_id").alias("p_id")), ["address", "country"])
+    w = Window.partitionBy("q_id").orderBy("p_id")
+    return j.select("q_id", "p_id", (F.row_number().over(w) - 1).cast("long").alias("rank"))
+
+
+@query
+def descriptor_swap(spark, sf_dir):
+    q, p = _prepared(spark, sf_dir)
+    return rules.descriptor_swap(_part_matches(spark, sf_dir), q, p)
+
+
+@query
+def competition_filter(spark, sf_dir):
+    q, p = _prepared(spark, sf_dir)
+    return rules.competition(_part_matches(spark, sf_dir), q, p)
+
+
+@query
+def empty_address_assign(spark, sf_dir):
+    """Part names made nearly unique by the key; a seventh of the pool has no address."""
+    q, p = _sides(r.part_records(spark, sf_dir))
+    named = F.concat("name", F.lit(" x"), F.floor(F.col("doc_id") / 3))
+    return rules.empty_address(
+        _part_matches(spark, sf_dir), rules.prepared(q.withColumn("name", named)), rules.prepared(p.withColumn("name", named).withColumn("address", _SOME_BLANK))
+    )
+
+
+@query
+def rule_precision(spark, sf_dir):
+    """Precision of the exact core rule, on documents, where equal texts are the truth."""
+    d = r.document_records(spark, sf_dir).withColumn("key", t.core_key("name"))
+    q, p = _sides(d.filter("key is not null"))
+    j = q.select("country", "key", F.col("entity_id").alias("q_id")).join(p.select("country", "key", F.col("entity_id").alias("p_id")), ["country", "key"])
+    found = blocking.unique_owner(j).withColumn("kind", F.lit("core"))
+    return rules.precision(found, _content_truth(r.document_records(spark, sf_dir)))
+
+
+@query
+def rule_chain(spark, sf_dir):
+    """Exact core, then typo tolerance, then words dropped, over the part records; each sees what is still unowned."""
+    q, p = _prepared(spark, sf_dir)
+    none = spark.createDataFrame([], "q_id string, p_id string")
+    return rules.apply_rules(none, q, p, [rules.exact_core, lambda a, b: rules.aligned(a, b, "typo"), lambda a, b: rules.aligned(a, b, "del")])
+
+
+@query
+def ops_profile(spark, sf_dir):
+    q, p = _sides(r.part_records(spark, sf_dir))
+    return assemble.operation_profile(_part_matches(spark, sf_dir), q, p, q.count())
+
+
+# --- assembly
+
+@query
+def country_merge(spark, sf_dir):
+    d = r.document_records(spark, sf_dir)
+    q, _ = _sides(d)
+    truth = _content_truth(d)
+    lists = r.match_lists(q.select(F.col("entity_id").alias("q_id")), truth, [F.col("p_id")], "matched")
+    special = lists.withColumn("matched", F.when(F.col("matched") != "", F.concat(F.lit("X"), "matched")).otherwise(F.lit("X")))
+    return assemble.country_merge(q, special.filter("q_id like '%1'"), lists.filter("q_id not like '%2'"), "fr")
+
+
+@query
+def candidate_assembly(spark, sf_dir):
+    q, p = _sides(r.document_records(spark, sf_dir))
+    a = blocking.tfidf_topk(q, p, 5, t.name_tokens("name", strip_suffix=False))
+    b = blocking.tfidf_topk(q, p, 5, t.tokens(t.fold("address")))
+    return assemble.candidate_set(a, b)
+
+
+@query
+def validate_output(spark, sf_dir):
+    d = r.document_records(spark, sf_dir)
+    q, p = _sides(d)
+    lists = q.select(F.col("entity_id").alias("q_id")).join(_content_truth(d), "q_id", "left")
+    broken = lists.filter("q_id not like '%7'").unionByName(lists.filter("q_id like '%5'"))
+    return assemble.validate(broken, q, p, _content_truth(d).filter("p_id not like '%3'"))
+
+
+@query
+def match_report(spark, sf_dir):
+    d = r.document_records(spark, sf_dir)
+    return assemble.match_report(_content_truth(d), _sides(d)[0])
+
+
+# --- models
+
+@query
+def split_digit(spark, sf_dir):
+    l = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return l.groupBy(models.split_digit("doc_id").alias("digit")).agg(F.count("*").alias("n"), F.sum("quality").alias("n_good"))
+
+
+@query
+def oof_folds(spark, sf_dir):
+    l = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return l.select("doc_id", models.split_digit("doc_id", 5).alias("fold"), (models.split_digit("doc_id") == 0).alias("held_out"))
+
+
+@query
+def pseudo_label_filter(spark, sf_dir):
+    return models.pseudo_labels(r.scored_pairs(spark, sf_dir)).select("q", "p", "s", F.col("y").cast("long").alias("y"))
+
+
+def _labelled(spark, sf_dir):
+    """Documents with a quality label and a few numbers of their text."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    n = F.greatest(F.size(F.split("text", " ")), F.lit(1))
+    count = lambda p: (F.char_length("text") - F.char_length(F.regexp_replace("text", p, ""))) / n
+    return d.select(
+        F.col("doc_id").alias("q"), F.col("doc_id").alias("p"), F.col("quality").cast("double").alias("y"), F.col("n_chars").cast("double").alias("f_len"), (F.col("n_chars") / n).alias("f_word"),
+        count("[#*$%&|<>]").alias("f_sym"), count("[A-Z]").alias("f_up"), count("!").alias("f_ex"), count("\n").alias("f_line"),
+    )
+
+
+_FEATURES = ["f_len", "f_word", "f_sym", "f_up", "f_ex", "f_line"]
+
+
+@query
+def gbt_two_stage(spark, sf_dir):
+    """Two-stage scores of the held-out tenth of the labelled documents."""
+    rows = _labelled(spark, sf_dir)
+    digit = models.split_digit()
+    out = models.two_stage(rows.filter(digit != 0), rows.filter(digit == 0), _FEATURES, lambda x: windows.order_statistics(x), ["s2_p1", "s2_sump"], trees=10, depth=4)
+    return out.select("q", "y", "s1", "s")
+
+
+@query
+def self_training(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    digit = models.split_digit()
+    return models.self_train(rows.filter(digit < 5), rows.filter(digit >= 5), _FEATURES, trees=8, depth=3).select("q", "y", "s")
+
+
+# --- streaming
+
+@query
+def incremental_link(spark, sf_dir):
+    """Documents streamed against the core keys of the queries."""
+    from kinweave.streaming import linker
+
+    q, _ = _sides(r.document_records(spark, sf_dir))
+    docs = linker.read_stream(spark, f"{sf_dir}/documents.parquet")
+    words = F.split(F.col("text"), " ")
+    src = (F.pmod(F.col("doc_id"), F.lit(3)) + 1).cast("int")
+    pool = docs.filter("doc_id % 3 <> 0").select(F.concat(F.lit("S"), src, F.lit("-"), F.col("doc_id")).alias("entity_id"), F.array_join(F.slice(words, 1, 5), " ").alias("name"))
+    return linker.run_once(linker.link_stream(pool, q), "incremental_link")

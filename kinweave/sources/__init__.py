@@ -1 +1 @@
-"""."""
+"""Record tables: readers, projections and writers."""

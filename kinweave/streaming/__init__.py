@@ -1 +1 @@
-"""."""
+"""Incremental linking with Structured Streaming."""
