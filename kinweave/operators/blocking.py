@@ -90,8 +90,7 @@ def dense_topk(queries: DataFrame, pool: DataFrame, k: int, block: int = 4096) -
 
 def _matrix(rows: pa.ListArray) -> np.ndarray:
     """Unit rows in double."""
-    flat = rows.values.to_numpy(zero_copy_only=False) if isinstance(rows, pa.ListArray) else np.concatenate(rows.to_pylist())
-    x = flat.astype(np.float64).reshape(len(rows), -1)
+    x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
