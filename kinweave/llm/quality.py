@@ -68,6 +68,8 @@ n_lines long, n_lines_failed long, lost_share double, kept boolean, clean_text s
 def _ends_with(block: tv.Block, end: np.ndarray, start: np.ndarray, marks: tuple[str, ...]) -> np.ndarray:
     """Whether the span up to ``end`` ends with one of the marks."""
     found = np.zeros(len(end), bool)
+    if not len(block.buf):
+        return found
     for mark in marks:
         code = mark.encode()
         hit = end - start >= len(code)
