@@ -214,7 +214,7 @@ def test_quality_counts(spark):
 
 
 def test_quality_rules(spark):
-    clean = "A clean title\n" + "\n".join(f"This is sentence number {i} and it says something of its own." for i in range(8))
+    clean = "A clean title\n" + "\n".join(f"{prose(i, 12)}, sentence number {i}." for i in range(8))
     menu = "Home | News | Sport | Weather | Contact\n" * 2
     texts = [clean, clean + "\n" + menu + "Click here to sign up for our newsletter.", "\n".join(f"A | b{i} | c | d | e | f | g" for i in range(9)), None, ""]
     got = {r.doc_id: r for r in quality.judge(documents(spark, texts)).collect()}
