@@ -129,7 +129,8 @@ def sample_by_hash(df: DataFrame, share: float, id_column: str = "entity_id") ->
 
 def first_by_hash(df: DataFrame, n: int, by: str | None = None, id_column: str = "entity_id") -> DataFrame:
     """At most n rows, of each group if ``by`` is given, in hash order."""
+    place = F.md5(F.col(id_column).cast("string").cast("binary"))
     if by is None:
-        return df.orderBy(F.xxhash64(id_column), id_column).limit(n)
-    w = Window.partitionBy(by).orderBy(F.xxhash64(id_column), id_column)
+        return df.orderBy(place, id_column).limit(n)
+    w = Window.partitionBy(by).orderBy(place, id_column)
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import kernels as kn
 from kinweave.functions import text as t
-from kinweave.operators import assemble, blocking, decide, models, pairs, rules, windows
+from kinweave.operators import assemble, blocking, decide, models, pairs, rules, training, windows
 from kinweave.plans.linkage_sql import SQL as _SQL
 from kinweave.sources import records as r
 
@@ -471,6 +471,31 @@ def match_report(spark, sf_dir):
 
 # --- models
 
+@query
+def positive_pairs(spark, sf_dir):
+    """At most two true pairs a query, without the queries whose id ends in 0."""
+    d = r.document_records(spark, sf_dir)
+    q, _ = _sides(d)
+    return training.positives(_content_truth(d), 2, q.filter("doc_id % 10 = 0").select(F.col("entity_id").alias("q_id")))
+
+
+@query
+def hard_negatives(spark, sf_dir):
+    d = r.document_records(spark, sf_dir)
+    q, p = _sides(d)
+    c = blocking.tfidf_topk(q, p, 10, t.name_tokens("name", strip_suffix=False))
+    return training.hard_negatives(c, _content_truth(d), 8)
+
+
+@query
+def decide_by_country(spark, sf_dir):
+    """Thresholds by return flag as the country."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    s = F.pmod(F.col("l_orderkey") * 31 + F.col("l_partkey") * 17 + F.col("l_linenumber") * 7, F.lit(1000)) / 1000
+    pairs_ = line.groupBy(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("p")).agg(F.max(s).alias("s"), F.min("l_returnflag").alias("country"))
+    return training.Decision({"A": (0.8, 0.6), "N": (0.6, 0.5)}).apply(pairs_)
+
+
 @query
 def split_digit(spark, sf_dir):
     l = spark.read.parquet(f"{sf_dir}/labels.parquet")

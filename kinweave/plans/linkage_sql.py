@@ -261,3 +261,15 @@ SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY bi_score DESC, p_id) - 1
  round(max(l_score) OVER (PARTITION BY q_id) - l_score, 6) AS l_gap, count(*) OVER (PARTITION BY q_id) AS n_cands FROM u"""
 SQL["candidate_assembly"] = f"""{_TWO.replace('rank < 10', 'rank < 5')}, u AS (SELECT q_id, p_id, 0 AS part, rank FROM x UNION ALL SELECT q_id, p_id, 1, rank FROM y)
 SELECT q_id, p_id, part, rank FROM u QUALIFY row_number() OVER (PARTITION BY q_id, p_id ORDER BY part, rank) = 1"""
+SQL["sampling"] = "SELECT doc_id, lang AS country FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('S' || (doc_id % 3 + 1) || '-' || doc_id)) <= 20"
+SQL["positive_pairs"] = f"""WITH {_DOCS}, {_TRUTH} SELECT q_id, p_id FROM truth WHERE q_id NOT LIKE '%0'
+QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY md5(q_id || ' ' || p_id), p_id) <= 2"""
+SQL["hard_negatives"] = f"""WITH {_DOCS}, {_tfidf('x', _NAME, 10)}, {_TRUTH}
+SELECT x.q_id, x.p_id, CAST(CASE WHEN t.q_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS y FROM x LEFT JOIN truth t ON t.q_id = x.q_id AND t.p_id = x.p_id WHERE x.rank < 8"""
+SQL["decide_by_country"] = """WITH pairs AS (
+  SELECT l_orderkey AS q, l_partkey AS p, max((l_orderkey * 31 + l_partkey * 17 + l_linenumber * 7) % 1000 / 1000) AS s, min(l_returnflag) AS country
+  FROM lineitem GROUP BY 1, 2
+), t AS (SELECT *, CASE country WHEN 'A' THEN 0.8 WHEN 'N' THEN 0.6 ELSE 0.7 END AS gate, CASE country WHEN 'A' THEN 0.6 WHEN 'N' THEN 0.5 ELSE 0.7 END AS extra FROM pairs),
+r AS (SELECT *, row_number() OVER (PARTITION BY q, country ORDER BY s DESC, p) - 1 AS rank, max(s) OVER (PARTITION BY q, country) AS p1 FROM t),
+g AS (SELECT country, q, p, s, rank FROM r WHERE p1 >= gate AND (rank = 0 OR s >= extra))
+SELECT country, p, q, s, rank FROM g QUALIFY row_number() OVER (PARTITION BY country, p ORDER BY s DESC, q) = 1"""
