@@ -328,12 +328,13 @@ def _prepared(spark, sf_dir, pool_name=None, pool_address=None):
     return rules.prepared(q), rules.prepared(p)
 
 
-_SOME_BLANK = F.when(F.col("doc_id") % 7 == 0, F.lit(" ")).otherwise(F.col("address"))
+def _some_blank():
+    return F.when(F.col("doc_id") % 7 == 0, F.lit(" ")).otherwise(F.col("address"))
 
 
 @query
 def exact_core_unique(spark, sf_dir):
-    return rules.exact_core(*_prepared(spark, sf_dir, pool_address=_SOME_BLANK))
+    return rules.exact_core(*_prepared(spark, sf_dir, pool_address=_some_blank()))
 
 
 @query
@@ -406,7 +407,7 @@ def empty_address_assign(spark, sf_dir):
     q, p = _sides(r.part_records(spark, sf_dir))
     named = F.concat("name", F.lit(" x"), F.floor(F.col("doc_id") / 3))
     return rules.empty_address(
-        _part_matches(spark, sf_dir), rules.prepared(q.withColumn("name", named)), rules.prepared(p.withColumn("name", named).withColumn("address", _SOME_BLANK))
+        _part_matches(spark, sf_dir), rules.prepared(q.withColumn("name", named)), rules.prepared(p.withColumn("name", named).withColumn("address", _some_blank()))
     )
 
 

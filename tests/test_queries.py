@@ -23,3 +23,13 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_import_needs_no_session():
+    import os
+    import subprocess
+    import sys
+
+    top = os.path.dirname(os.path.abspath(entry.__file__))
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()))"], cwd=top, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "True", done.stderr
