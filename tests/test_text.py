@@ -109,6 +109,19 @@ def test_kernel_properties(a, b):
     assert kn.partial_ratio(a, b) >= kn.ratio(a, b) - 1e-9 or len(a) != len(b)
 
 
+@settings(max_examples=200, deadline=None)
+@given(words, words)
+def test_partial_ratio_tries_every_piece(a, b):
+    def best(x, y):
+        n = len(x)
+        pieces = {y[i : i + n] for i in range(len(y) - n + 1)} | {y[:i] for i in range(1, n)} | {y[-i:] for i in range(1, n)}
+        return max(2 * naive_lcs(x, p) / (n + len(p)) for p in pieces)
+
+    if a and b:
+        want = max(best(a, b), best(b, a)) if len(a) == len(b) else best(*sorted((a, b), key=len))
+        assert kn.partial_ratio(a, b) == pytest.approx(want)
+
+
 def test_registered(spark):
     kn.register(spark)
     assert spark.sql("SELECT kin_ratio('acme', 'acne')").first()[0] == 0.75
