@@ -45,44 +45,67 @@ def grid(start_percent: int, stop_percent: int, step_permille: int) -> list[floa
     return [x / 1000 for x in range(10 * start_percent, 10 * stop_percent + 1, step_permille)]
 
 
-def tune_gate_extra(pairs: DataFrame, truth: DataFrame, queries: DataFrame, gates: list[float], extras: list[float]) -> DataFrame:
-    """(gate, extra, macro_f05) of the whole grid, without a row per pair and grid point.
+def _steps(pairs: DataFrame, truth: DataFrame, queries: DataFrame, levels: list[float]) -> DataFrame:
+    """Every query's pairs by falling score, with what is kept down to each: (q, n_true, rank, s, level, below, n_pred, n_hit).
 
-    A query's outcome at (g, e) is nothing if its best score is below g, else
-    its best pair and its pairs from e on.  So each query is folded once, by
-    extra threshold; the mean over queries with best score >= g is a suffix
-    sum over gates, taken after the queries are grouped by gate.
+    ``level`` counts the thresholds that the pair passes, ``below`` those that
+    the next one passes; so at thresholds below + 1 ... level exactly the pairs
+    down to this one are kept.  A query without pairs has one row without rank.
     """
-    spark = pairs.sparkSession
     y = pairs.join(truth.select("q", "p").withColumn("y", F.lit(1)), ["q", "p"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
-    y = ranked(y)
+    level = F.size(F.filter(F.array(*map(F.lit, levels)), lambda t: t <= F.col("s")))
+    w = Window.partitionBy("q").orderBy(F.desc("s"), "p")
+    y = ranked(y).withColumn("level", level).withColumn("below", F.coalesce(F.lead("level").over(w), F.lit(0)))
+    y = y.withColumn("n_pred", F.col("rank") + 1).withColumn("n_hit", F.sum("y").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     n_true = truth.groupBy("q").agg(F.count("p").alias("n_true"))
-    steps = F.array(*map(F.lit, extras))
-    # per query: how many pairs beyond the best one, and how many true ones, pass each extra threshold
-    level = F.size(F.filter(steps, lambda e: e <= F.col("s")))
-    per = y.withColumn("level", level).groupBy("q").agg(
-        F.max("s").alias("p1"), F.max(F.when(F.col("rank") == 0, F.col("y"))).alias("hit1"),
-        F.collect_list(F.when(F.col("rank") > 0, F.struct("level", "y"))).alias("rest"),
-    )
-    per = queries.select("q").join(per, "q", "left").join(n_true, "q", "left").fillna(0, ["n_true"])
-    gate_level = F.size(F.filter(F.array(*map(F.lit, gates)), lambda g: g <= F.coalesce(F.col("p1"), F.lit(-1.0))))
-    per = per.withColumn("gate_level", gate_level)
-    i = F.explode(F.sequence(F.lit(1), F.lit(len(extras)))).alias("i")
-    per = per.select("gate_level", "n_true", "hit1", "rest", i)
-    passing = F.filter("rest", lambda r: r["level"] >= F.col("i"))
-    n_pred, n_hit = F.size(passing) + 1, F.aggregate(passing, F.col("hit1"), lambda a, r: a + r["y"])
-    none = F.when(F.col("n_true") == 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    value = F.when(F.col("gate_level") > 0, f05(n_pred, n_hit, F.col("n_true"))).otherwise(none)
-    cell = per.groupBy("i", "gate_level").agg(F.sum(value).alias("got"), F.sum(none).alias("without"), F.count("*").alias("n"))
-    cell = cell.select("*", F.explode(F.sequence(F.lit(1), F.lit(len(gates)))).alias("j"))
+    return queries.select("q").join(n_true, "q", "left").join(y.drop("p", "y"), "q", "left").fillna(0, ["n_true"])
+
+
+def _without():
+    """The metric of a query that keeps nothing."""
+    return F.when(F.col("n_true") == 0, F.lit(1.0)).otherwise(F.lit(0.0))
+
+
+def tune_gate_extra(pairs: DataFrame, truth: DataFrame, queries: DataFrame, gates: list[float], extras: list[float]) -> DataFrame:
+    """(gate, extra, macro_f05) of the whole grid, from two rows a pair.
+
+    At (g, e) a query keeps nothing if its best score is below g, else its best
+    pair and its pairs from e on.  Its metric is constant between the scores of
+    its pairs, so each pair brings the two ends of its stretch of extra
+    thresholds; they are summed by gate level, and the grid is put together
+    from those sums, whose number does not depend on the data.
+    """
+    n_e, n_g = len(extras), len(gates)
+    rows = _steps(pairs, truth, queries, extras)
+    p1 = rows.filter("rank = 0").select("q", F.size(F.filter(F.array(*map(F.lit, gates)), lambda g: g <= F.col("s"))).alias("gate_level"))
+    rows = rows.join(p1, "q", "left").withColumn("gate_level", F.coalesce("gate_level", F.lit(0)))
+    value = f05(F.col("n_pred"), F.col("n_hit"), F.col("n_true"))
+    top = F.when(F.col("rank") == 0, F.lit(n_e)).otherwise(F.col("level"))
+    end = rows.filter("rank is not null and gate_level > 0").select("gate_level", value.alias("v"), (F.col("below") + 1).alias("low"), (top + 1).alias("high"))
+    ends = end.select("gate_level", F.explode(F.array(F.struct(F.col("low").alias("at"), F.col("v").alias("v")), F.struct(F.col("high").alias("at"), (-F.col("v")).alias("v")))).alias("x"))
+    sums = ends.groupBy("gate_level", "x.at").agg(F.sum("x.v").alias("v")).groupBy("gate_level").agg(F.collect_list(F.struct("at", "v")).alias("ends"))
+    first = rows.filter("rank is null or rank = 0").groupBy("gate_level").agg(F.sum(_without()).alias("without"), F.count("*").alias("n"))
+    cell = first.join(sums, "gate_level", "left").select("gate_level", "without", "n", "ends", F.explode(F.sequence(F.lit(1), F.lit(n_e))).alias("i"))
+    got = F.aggregate(F.filter("ends", lambda x: x["at"] <= F.col("i")), F.lit(0.0), lambda a, x: a + x["v"])
+    cell = cell.select("gate_level", "without", "n", "i", F.coalesce(got, F.lit(0.0)).alias("got"), F.explode(F.sequence(F.lit(1), F.lit(n_g))).alias("j"))
     total = cell.groupBy("i", "j").agg((F.sum(F.when(F.col("gate_level") >= F.col("j"), F.col("got")).otherwise(F.col("without"))) / F.sum("n")).alias("macro_f05"))
-    return total.select(F.element_at(F.array(*map(F.lit, gates)), F.col("j")).alias("gate"), F.element_at(steps, F.col("i")).alias("extra"), "macro_f05")
+    return total.select(F.element_at(F.array(*map(F.lit, gates)), F.col("j")).alias("gate"), F.element_at(F.array(*map(F.lit, extras)), F.col("i")).alias("extra"), "macro_f05")
 
 
 def tune_threshold(pairs: DataFrame, truth: DataFrame, queries: DataFrame, thresholds: list[float]) -> DataFrame:
-    """(threshold, macro_f05) when all pairs from the threshold on are kept."""
-    both = tune_gate_extra(pairs, truth, queries, thresholds, thresholds)
-    return both.filter("gate = extra").select(F.col("gate").alias("threshold"), "macro_f05")
+    """(threshold, macro_f05) when all pairs from the threshold on are kept; the ends of stretches are summed as above."""
+    n = len(thresholds)
+    rows = _steps(pairs, truth, queries, thresholds)
+    one = lambda n: F.lit(n).alias("one")
+    stretch = rows.filter("rank is not null").select(f05(F.col("n_pred"), F.col("n_hit"), F.col("n_true")).alias("v"), (F.col("below") + 1).alias("low"), (F.col("level") + 1).alias("high"), one(0))
+    rest = rows.filter("rank is null or rank = 0").select(_without().alias("v"), (F.coalesce("level", F.lit(0)) + 1).alias("low"), F.lit(n + 1).alias("high"), one(1))
+    low = F.struct(F.col("low").alias("at"), F.col("v").alias("v"), F.col("one").alias("one"))
+    high = F.struct(F.col("high").alias("at"), (-F.col("v")).alias("v"), F.lit(0).alias("one"))
+    ends = stretch.unionByName(rest).select(F.explode(F.array(low, high)).alias("x"))
+    sums = ends.groupBy("x.at").agg(F.sum("x.v").alias("v"), F.sum("x.one").alias("one")).agg(F.collect_list(F.struct("at", "v")).alias("ends"), F.sum("one").alias("n"))
+    at = sums.select("ends", "n", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
+    got = F.aggregate(F.filter("ends", lambda x: x["at"] <= F.col("i")), F.lit(0.0), lambda a, x: a + x["v"])
+    return at.select(F.element_at(F.array(*map(F.lit, thresholds)), F.col("i")).alias("threshold"), (got / F.col("n")).alias("macro_f05"))
 
 
 def best_row(tuned: DataFrame, *ties) -> DataFrame:
