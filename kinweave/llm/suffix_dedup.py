@@ -176,9 +176,8 @@ def _as_text(column: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(column), [valid, offsets, data], offset=column.offset)
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(k, th, spans): for each text that repeats something, unmerged spans of its bytes; k, th as in :func:`_keyed`."""
-    rows = _keyed(docs, doc_id, text).select("k", "th", "t")
+def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(k, th, spans): for each text that repeats something, unmerged spans of its bytes; ``rows`` as of :func:`_keyed`."""
 
     def cut_up(batches):
         for batch in batches:
@@ -188,13 +187,13 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     at = pa.array(owner + block.first)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(low << 32 | high)], names=["k", "th", "anchor", "seg", "at"])
 
-    s = stored(rows.mapInArrow(cut_up, "k long, th long, anchor long, seg long, at long"))
+    s = stored(rows.select("k", "th", "t").mapInArrow(cut_up, "k long, th long, anchor long, seg long, at long"))
     again = s.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("seg") < F.max("seg")).alias("several")).filter("n > 1")
     g = s.join(again.select("anchor", "several"), "anchor").groupBy("anchor", "seg", "several").agg(F.count("*").alias("n"), F.min(F.struct("k", "th", "at")).alias("rep"))
     g = stored(g.filter("n > 1 or several"))
     wanted = g.filter("several").select("rep.k", "rep.th", F.struct("anchor", "seg", "rep.at").alias("piece")).groupBy("k", "th").agg(F.collect_list("piece").alias("pieces"))
-    # a text of a repeated row is fetched once
-    texts = rows.join(wanted, ["k", "th"]).select("t", "pieces")
+    # all columns go on, so that this shuffle of the texts is the one that the result is joined from
+    texts = rows.join(wanted, ["k", "th"]).select("t", "pieces", *(c for c in rows.columns if c != "t"))
 
     def fetch(batches):
         for batch in batches:
@@ -208,7 +207,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     part.append(raw[low : high + length].to_pybytes())
                 yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(seg, pa.int64()), pa.array(part, pa.binary())], names=["anchor", "seg", "part"])
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = texts.mapInArrow(fetch, "anchor long, seg long, part binary").repartition(n, "anchor")
     found = parts.mapInArrow(_index(length), "anchor long, seg long, first array<int>, last array<int>")
     found = found.groupBy("anchor", "seg").agg(F.first("first").alias("first"), F.first("last").alias("last"))
@@ -230,7 +229,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     added = ("n_bytes", "removed", "kept_bytes")
     old = [c for c in docs.columns if c.lower() not in added]
     rows = _keyed(docs, doc_id, text, F.struct(*(F.col(f"`{c}`") for c in old if c != text)).alias("row")) if len(old) > 1 else _keyed(docs, doc_id, text)
-    spans = repeated_spans(docs, doc_id, text, length)
+    spans = repeated_spans(rows, length)
     rows = rows.join(spans, ["k", "th"], "left")
     has_row = "row" in rows.columns
     rows = rows.select("t", "spans", *(["row"] if has_row else []))
