@@ -34,19 +34,21 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANKS)), _UPPER, _UPPER.lower())
 
 
-def _hashed(key: Column, min_chars: int) -> Column:
-    """A 128-bit hash of a key long enough to be dropped, else null."""
-    return F.when(F.char_length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key, F.lit(2)).alias("g")))
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _lines(text: str) -> Column:
-    return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+def _keys(docs: DataFrame, min_chars: int, doc_id: str, text: str) -> DataFrame:
+    """(d, h, g): the 128-bit hashes of the distinct line keys of each document that are long enough to be dropped."""
+    key = F.transform(_lines(F.col(text)), line_key)  # an array of its own, so each key is made once
+    key = F.array_distinct(F.filter(key, lambda x: F.char_length(x) >= min_chars))
+    hashed = F.transform(key, lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x, F.lit(2)).alias("g")))
+    return docs.select(F.coalesce(F.col(doc_id), F.lit(_LAST)).alias("d"), F.explode(hashed).alias("k")).select("d", "k.h", "k.g")
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(h, g, n_docs, owner): hashes of the line keys in at least ``min_docs`` documents."""
-    keys = F.array_distinct(F.filter(F.transform(_lines(text), lambda x: _hashed(line_key(x), min_chars)), lambda x: x.isNotNull()))
-    each = docs.select(F.coalesce(F.col(doc_id), F.lit(_LAST)).alias("d"), F.explode(keys).alias("k")).select("d", "k.h", "k.g")
+    each = _keys(docs, min_chars, doc_id, text)
     if min_docs == 2:  # two distinct ids differ in least and greatest
         seen = each.groupBy("h", "g").agg(F.min("d").alias("owner"), F.max("d").alias("last"))
         return seen.filter("owner < last").select("h", "g", "owner")
@@ -56,16 +58,15 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, doc_
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the columns ``n_lines``, ``n_dropped`` and ``kept_text`` added (or replaced)."""
-    keys = F.array_distinct(F.filter(F.transform(_lines(text), lambda x: _hashed(line_key(x), min_chars)), lambda x: x.isNotNull()))
-    mine = docs.select(F.coalesce(F.col(doc_id), F.lit(_LAST)).alias("d"), F.explode(keys).alias("k")).select("d", "k.h", "k.g")
+    mine = _keys(docs, min_chars, doc_id, text)
     again = repeated_lines(docs, min_chars, min_docs, doc_id, text)
     drop = mine.join(again, ["h", "g"]).filter("owner <> d").groupBy("d").agg(F.collect_set("h").alias("h"))
     row = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(doc_id), F.lit(_LAST)).alias("d"))
     row = row.join(drop, "d", "left")
-    line = F.split(F.coalesce(F.col("row").getField(text), F.lit("")), "\n", -1)
-    gone = lambda x: F.coalesce((F.char_length(line_key(x)) >= min_chars) & F.array_contains(F.col("h"), F.xxhash64(line_key(x))), F.lit(False))
-    row = row.select("row", line.alias("lines"), "h")
-    row = row.withColumn("kept", F.when(F.col("h").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~gone(x))))
+    row = row.select("row", _lines(F.col("row").getField(text)).alias("lines"), "h")
+    keyed = F.transform("lines", lambda x: F.struct(x.alias("line"), line_key(x).alias("key")))
+    stays = F.filter(keyed, lambda x: (F.char_length(x["key"]) < min_chars) | ~F.array_contains("h", F.xxhash64(x["key"])))
+    row = row.withColumn("kept", F.when(F.col("h").isNull(), F.col("lines")).otherwise(F.transform(stays, lambda x: x["line"])))
     added = {
         "n_lines": F.size("lines").cast("long"),
         "n_dropped": (F.size("lines") - F.size("kept")).cast("long"),
