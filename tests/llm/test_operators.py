@@ -372,6 +372,31 @@ def test_language_models_against_brute_force(spark):
         assert got[i].score == pytest.approx(got[i].target_loss - got[i].background_loss)
 
 
+def test_language_models_keep_rare_words(spark):
+    # 4 MB of background: a word of the target that occurs twice stays in the models
+    filler = " ".join(prose(1, 2000).split() * 30)
+    texts = ["zyx wvu tsr"] + [filler] * 12 + ["zyx wvu tsr"]
+    docs = documents(spark, texts).withColumn("good", F.col("doc_id") < 1)
+    assert docs.agg(F.sum(F.octet_length("text"))).first()[0] > 4_000_000
+    models = lmscore.train(docs, "good")
+    got = {r.doc_id: r for r in lmscore.score(docs, models).collect()}
+    words = [t.split() for t in texts]
+    one = collections.Counter(w for x in words for w in x)
+    assert min(one.values()) >= 2
+    total, size = sum(one.values()), len(one) + 1
+
+    def loss(n, n_before, n_pair, total):
+        p = [(n + lmscore.ALPHA) / (total + lmscore.ALPHA * size)] * 3
+        p[1:] = [lmscore.LAMBDA * n_pair / n_before + (1 - lmscore.LAMBDA) * x for x in p[1:]]
+        return -np.mean(np.log(p))
+
+    assert got[13].background_loss == pytest.approx(loss(2, 2, 2, total))
+    assert got[13].target_loss == pytest.approx(loss(1, 1, 1, 3))
+    # documents that are not the background's own get the same scores
+    other = {r.doc_id: r for r in lmscore.score(docs.drop("good"), models).collect()}
+    assert all(other[i].score == pytest.approx(got[i].score) and other[i].n_tokens == got[i].n_tokens for i in got)
+
+
 def test_language_models_awkward(spark):
     docs = odd_documents(spark).withColumn("good", F.lit(None).cast("boolean"))
     assert lmscore.score(docs, lmscore.train(docs, "good")).count() == 11
