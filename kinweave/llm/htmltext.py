@@ -4,22 +4,25 @@ A page is a sequence of tokens: tags with their place in the tree, and pieces
 of text with theirs.  Tokens of a host that occur equally often in each of its
 pages have the same occurrence vector and form an equivalence class (Arasu and
 Garcia-Molina 2003).  A class is valid if it spans at least half of the host's
-pages, and three at least; valid classes nest by their places in the tree and
-make up the host's template.  What a page has beside its template are the
-slots; their text is extracted, except in parts that are not the article.
+pages, and three at least, if its tokens come in one order on all of them, and
+if it crosses no larger class: a class lies in one gap of another or outside
+it.  The valid classes make up the host's template.  What a page has beside
+its template are the slots; their text is extracted, except in parts that are
+not the article.
 
 Scale: a host may have a third of all pages, so vectors are never gathered.
 A vector is represented by the sum of count * hash(page) over the pages, which
 is equal for equal vectors, adds up in map-side combines, and makes a class one
-number.  Templates hold only tokens that half of a host's pages share, so they
+number.  Order and nesting are checked in a second pass over the pages, which
+adds up one row a class and page.  Templates hold only tokens that half of a host's pages share, so they
 are smaller than its pages; they are sent to all tasks if they hold at most
 ``max_broadcast`` tokens, and joined by host otherwise.
 
 Which slots are the article: those inside an article or main element, if the
-page has text there (such text is kept whole, template or not: copies of one
-article on one host are not a template); else all slots that are not menus,
-headers, footers, sidebars, notices, adverts, forms or comments by element,
-role or class name, and not blocks of links only.
+page has text there; else all slots that are not menus, headers, footers,
+sidebars, notices, adverts, forms or comments by element, role or class name,
+and not blocks of links only.  An article that is template throughout is a
+copy of one article on one host, not a template, and is kept whole.
 
 Defined results: a null or empty html, or one without article text, gives the
 empty text; markup that never ends is dropped; unclosed elements end with
@@ -31,6 +34,8 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,10 +90,10 @@ def _kind(name: str, attributes: str) -> tuple[bool, bool, str]:
     return out, inside, label
 
 
-def blocks_of(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], list[str]]:
-    """((path, text, out, in article, links only) of each text block, paths of all tags) in page order."""
+def blocks_of(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], list[tuple[str, str]]]:
+    """((path, text, out, in article, links only) of each text block, (path, text) of all tokens; no text: a tag) in page order."""
     found: list = []
-    tags: list[str] = []
+    tokens: list[tuple[str, str]] = []
     stack: list[tuple[str, bool, bool, str]] = []  # (name, out, inside, path)
     parts: list[str] = []
     linked = plain = False
@@ -100,6 +105,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], list[
             text = " ".join(_html.unescape("".join(parts)).split())
             if text:
                 found.append((where[0], text, where[1], where[2], linked and not plain))
+                tokens.append((where[0], text))
             parts.clear()
         linked = plain = False
 
@@ -164,36 +170,65 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], list[
         # the head of an article holds its heading; nothing else of a header is article
         out = (up[1] and not (name in HEADING and any(s[0] == "header" and s[2] for s in stack) and not any(s[1] and s[0] != "header" for s in stack))) or out
         path = f"{up[3]}/{label}"
-        tags.append(path)
+        tokens.append((path, ""))
         stack.append((name, out, in_article, path))
     flush()
-    return found, tags
+    return found, tokens
 
 
 def _hash(path: str, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{path}\x00{text}") - 2**63
 
 
-def tokens_of(page: str) -> dict[int, int]:
-    """Hashed tokens of a page with their counts: tags by path, and texts by path outside articles."""
-    found, tags = blocks_of(page)
-    count: dict[int, int] = {}
-    for key in [_hash(p, "") for p in tags] + [_hash(p, t) for p, t, *_ in found]:
-        count[key] = count.get(key, 0) + 1
-    return count
+def tokens_of(page: str) -> list[int]:
+    """The hashed tokens of a page, tags and texts by path, in page order."""
+    return [_hash(*t) for t in blocks_of(page)[1]]
 
 
 def main_text(page: str | None, template: frozenset | set = frozenset()) -> str:
     """The article's blocks, joined by newlines."""
     found, _ = blocks_of(page or "")
-    good = [b for b in found if not b[2]]
-    article = [b[1] for b in good if b[3]]
+    slots = [b for b in found if not b[2] and (not template or _hash(b[0], b[1]) not in template)]
+    article = [b[1] for b in slots if b[3]] or [b[1] for b in found if b[3] and not b[2]]
     if article:
         return "\n".join(article)
-    return "\n".join(t for path, t, _, _, links in good if not links and _hash(path, t) not in template)
+    return "\n".join(t for _, t, _, _, links in slots if not links)
+
+
+def _checked(tokens: list[int], of: dict[int, int], size: dict[int, int]) -> Iterator[tuple[int, int, bool]]:
+    """(class, hash of its order, whether it is in order and crosses no larger class) of the classes of a page."""
+    own: dict[int, list[int]] = {}
+    for t in tokens:
+        if t in of:
+            own.setdefault(of[t], []).append(t)
+    bad = {c for c, x in own.items() if len(x) % size[c] or len(set(x[: size[c]])) < size[c] or x != x[: size[c]] * (len(x) // size[c])}
+    seen = dict.fromkeys(own, 0)
+    stack: list[int] = []  # classes that have begun and not ended
+    for t in tokens:
+        c = of.get(t)
+        if c is None or c in bad:
+            continue
+        if seen[c] == 0:
+            stack.append(c)
+        while stack[-1] != c and c not in bad:
+            bad.add(stack.pop() if size[stack[-1]] <= size[c] else c)
+        if c in bad:
+            stack.remove(c)
+            continue
+        seen[c] = (seen[c] + 1) % size[c]
+        if seen[c] == 0:
+            stack.pop()
+    for c, x in own.items():
+        yield c, xxhash.xxh64_intdigest(np.array(x[: size[c]], np.int64).tobytes()) - 2**63, c not in bad
+
+
+def _with_template(rows: DataFrame, model: DataFrame, max_broadcast: int) -> DataFrame:
+    n = model.agg(F.sum("n_tokens")).first()[0] or 0
+    model = model.drop("n_tokens")
+    return rows.join(F.broadcast(model) if n <= max_broadcast else model, "h", "left")
 
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html", min_share: float = 0.5, min_pages: int = 3) -> DataFrame:
+def templates(pages: DataFrame, url: str = "url", html: str = "html", min_share: float = 0.5, min_pages: int = 3, max_broadcast: int = 500_000) -> DataFrame:
     """(h, tokens, n_tokens): the tokens of the valid equivalence classes of each host; h is the host's hash."""
     rows = pages.select(F.xxhash64(url_host(F.col(url))).alias("h"), F.col(html).alias("html"))
 
@@ -201,7 +236,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_share:
         for batch in batches:
             host, token, count, mark = [], [], [], []
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = tokens_of(page or "")
+                own = Counter(tokens_of(page or ""))
                 own[0] = 1  # stands for the page itself
                 r = xxhash.xxh64_intdigest(page or "") >> 33
                 for k, c in own.items():
@@ -216,21 +251,40 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_share:
     token = token.groupBy("h", "token").agg(F.count("*").alias("n_pages"), F.sum(F.col("mark").cast("decimal(38,0)")).alias("vector"))
     token = token.filter(F.col("n_pages") >= min_pages)
     size = token.filter("token = 0").select("h", F.col("n_pages").alias("of"))
-    valid = token.filter("token <> 0").join(size, "h").filter(F.col("n_pages") >= min_share * F.col("of"))
-    classes = valid.groupBy("h", "vector").agg(F.count("*").alias("n_tokens"), F.collect_list("token").alias("tokens"))
-    return classes.groupBy("h").agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.sum("n_tokens").alias("n_tokens"))
+    often = token.filter("token <> 0").join(size, "h").filter(F.col("n_pages") >= min_share * F.col("of"))
+    often = often.select("h", "token", F.xxhash64("vector", "n_pages").alias("class"))
+    found = cut(often.groupBy("h").agg(F.collect_list("token").alias("tokens"), F.collect_list("class").alias("classes"), F.count("*").alias("n_tokens")))
+
+    def check(batches):
+        for batch in batches:
+            host, name, form, good = [], [], [], []
+            of: dict = {}
+            for h, page, tokens, classes in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if tokens is None:
+                    continue
+                if h not in of:
+                    of[h] = dict(zip(tokens, classes, strict=True)), Counter(classes)
+                for c, f, g in _checked(tokens_of(page or ""), *of[h]):
+                    host.append(h)
+                    name.append(c)
+                    form.append(f)
+                    good.append(g)
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.int64()), pa.array(name, pa.int64()), pa.array(form, pa.int64()), pa.array(good, pa.bool_())], names=["h", "class", "form", "good"])
+
+    seen = _with_template(rows, found, max_broadcast).select("h", "html", "tokens", "classes").mapInArrow(check, "h long, class long, form long, good boolean")
+    valid = seen.groupBy("h", "class").agg(F.min("form").alias("a"), F.max("form").alias("b"), F.min("good").alias("good")).filter("a = b and good").select("h", "class")
+    each = found.select("h", F.explode(F.arrays_zip("tokens", "classes")).alias("x")).select("h", F.col("x.tokens").alias("token"), F.col("x.classes").alias("class"))
+    return each.join(valid, ["h", "class"]).groupBy("h").agg(F.collect_list("token").alias("tokens"), F.count("*").alias("n_tokens"))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", max_broadcast: int = 500_000, **options) -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` added (or replaced)."""
     added = ("text", "n_chars")
     old = [c for c in pages.columns if c.lower() not in added]
-    model = cut(templates(pages, url, html, **options))
-    n = model.agg(F.sum("n_tokens")).first()[0] or 0
+    model = cut(templates(pages, url, html, max_broadcast=max_broadcast, **options))
     rest = [c for c in old if c != html]
     rows = pages.select(F.xxhash64(url_host(F.col(url))).alias("h"), F.col(html).alias("html"), F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest)).alias("row"))
-    model = model.select("h", "tokens")
-    rows = rows.join(F.broadcast(model) if n <= max_broadcast else model, "h", "left").select("row", "html", "tokens")
+    rows = _with_template(rows, model, max_broadcast).select("row", "html", "tokens")
     schema = rows.select("row", "html", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
     for f in schema:
         f.nullable = True

@@ -119,6 +119,26 @@ def test_html_template(spark):
     assert {r.page_id: (r.text, r.n_chars) for r in other.collect()} == got
 
 
+def test_html_template_in_articles(spark):
+    """Fixed text of a host leaves articles too; a class whose tokens change places is no template."""
+    page = lambda i: f"<article><p>Read more on our site</p><p>Story {i} has its own words</p><p>All rights reserved</p></article>"
+    turn = lambda i: "<article>%s<p>Tale %d</p></article>" % ("".join(["<p>one</p>", "<p>two</p>"][:: 1 - i % 2 * 2]), i)
+    made = [(i, "http://a.b/x", page(i)) for i in range(6)] + [(10 + i, "http://c.d/", turn(i)) for i in range(6)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Story 3 has its own words"
+    assert got[12] == "one\ntwo\nTale 2" and got[13] == "two\none\nTale 3"
+
+
+def test_html_classes_nest():
+    of = {1: 7, 2: 7, 3: 7, 4: 8, 5: 8, 6: 9}
+    size = {7: 3, 8: 2, 9: 1}
+    good = lambda tokens: {c for c, _, g in htmltext._checked(tokens, of, size) if g}
+    assert good([1, 4, 0, 5, 4, 5, 2, 6, 3]) == {7, 8, 9}  # the smaller class repeats in one gap
+    assert good([1, 4, 2, 5, 6, 3]) == {7, 9}  # it crosses a token of the larger
+    assert good([4, 1, 5, 2, 3, 6]) == {7, 9}
+    assert good([1, 3, 2, 2, 1, 3, 6]) == {9}  # two orders in one page
+
+
 def test_html_awkward(spark):
     pages = spark.createDataFrame([(1, "http://a/", "<p>x</p>", "old"), (1, "http://a/", "<p>x</p>", "old")], "page_id long, url string, html string, text string")
     assert [(r.page_id, r.text) for r in htmltext.extract(pages).collect()] == [(1, "x"), (1, "x")]
