@@ -4,7 +4,9 @@ A spaced seed is a fixed mask over a window of tokens; ignored positions may
 differ.  Every window of the benchmark is hashed under each mask, every window
 of the training texts is hashed the same way, and equal hashes join.  Around
 each hit, the text and the item are compared token by token on the hit's
-diagonal, and the best segment that tolerates substitutions decides.
+diagonal, and the best segment that tolerates substitutions decides.  An item
+shorter than ``min_tokens`` tokens has no room for substitutions: its whole
+token sequence is hashed and must stand in the text as it is.
 
 The benchmark side is measured first.  Up to ``max_broadcast`` bytes of item
 text are indexed at once and sent to all tasks; a larger benchmark is dealt
@@ -14,9 +16,8 @@ never leave the task that finds them, so a passage that a third of all
 documents share costs what it occupies.
 
 Tokens are runs of letters and digits, lower-cased.  Defined results: a null
-or empty text, or an item without tokens, never matches; an item shorter than
-``min_tokens`` tokens is too short to prove a leak and is left out; items with
-equal text all match; an item's best segment in a text is reported once (ties:
+or empty text, or an item without tokens, never matches; items with equal text
+all match; an item's best segment in a text is reported once (ties:
 the longest, then the first); repeated rows are judged alike, row by row.
 """
 
@@ -41,7 +42,7 @@ _TABLE_BITS = 24
 @dataclass(frozen=True)
 class Overlap:
     """When a segment counts: at least ``min_match`` equal tokens, or ``min_share`` of a shorter item, and never
-    fewer than ``min_tokens``; equal tokens make up at least ``min_identity`` of it."""
+    fewer than ``min_tokens``; equal tokens make up at least ``min_identity`` of it.  Shorter items match whole."""
 
     min_match: int = 12
     min_share: float = 0.7
@@ -72,21 +73,30 @@ def _seeds(word: np.ndarray, text: np.ndarray):
             yield _seed(word, mask, salt), inside
 
 
+def _run(word: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each run of ``size`` words."""
+    return _seed(word, "1" * size, size)
+
+
 class Index:
     """The hashed seeds of some benchmark items."""
 
     def __init__(self, ids: list, texts: list[str], rule: Overlap):
         self.ids, self.items = [], []
         seed, item, at = [], [], []
+        short: dict[int, list] = {}
         for block in tv.blocks(pc.utf8_lower(pa.array(texts, pa.string()))):
             word, text = tokens(block)
             bound = np.searchsorted(text, np.arange(block.n + 1))
             for k in range(block.n):
                 own = word[bound[k] : bound[k + 1]]
-                if len(own) < rule.min_tokens:
+                if not len(own):
                     continue
                 self.ids.append(ids[block.first + k])
                 self.items.append(own)
+                if len(own) < rule.min_tokens:
+                    short.setdefault(len(own), []).append((int(_run(own, len(own))[0]), len(self.items) - 1))
+                    continue
                 for hashes, inside in _seeds(own, np.zeros(len(own), np.int64)):
                     seed.append(hashes[inside])
                     at.append(inside)
@@ -97,6 +107,9 @@ class Index:
         self.item = np.concatenate(item)[order] if item else np.zeros(0, np.int64)
         self.at = np.concatenate(at)[order] if at else np.zeros(0, np.int64)
 
+        #: (length, sorted hashes of whole sequences, their items) of the items below min_tokens
+        self.short = [(size, np.array([h for h, _ in x], np.uint64), np.array([i for _, i in x])) for size, x in ((n, sorted(y)) for n, y in sorted(short.items()))]
+
     def table(self) -> np.ndarray:
         bits = np.zeros(1 << _TABLE_BITS, bool)
         bits[self.seed >> np.uint64(64 - _TABLE_BITS)] = True
@@ -113,6 +126,23 @@ def _segment(same: np.ndarray, min_identity: float) -> tuple[int, int, int]:
     return int(same[start:end].sum()), end - start, start
 
 
+def _whole(word: np.ndarray, text: np.ndarray, index: Index):
+    """(text, item, where) of the first place of each short item in each text."""
+    for size, hashes, items in index.short:
+        if len(word) < size:
+            continue
+        at = np.flatnonzero(text[: len(text) - size + 1] == text[size - 1 :])
+        run = _run(word, size)[at]
+        low, high = (np.searchsorted(hashes, run, side) for side in ("left", "right"))
+        hit = np.flatnonzero(high > low)
+        # of a text's places of one sequence the first
+        _, first = np.unique(np.stack([text[at[hit]], low[hit]], 1), axis=0, return_index=True)
+        for k in hit[first].tolist():
+            for i in items[low[k] : high[k]].tolist():
+                if np.array_equal(word[at[k] : at[k] + size], index.items[i]):
+                    yield int(text[at[k]]), i, int(at[k])
+
+
 def _leaks(block: tv.Block, index: Index, bits: np.ndarray, rule: Overlap) -> list[list]:
     out: list[list] = [[] for _ in range(block.n)]
     word, text = tokens(block)
@@ -126,11 +156,9 @@ def _leaks(block: tv.Block, index: Index, bits: np.ndarray, rule: Overlap) -> li
             k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
             hit = np.repeat(hit, many)
             found.append(np.stack([text[hit], index.item[k], hit - index.at[k]], 1))
-    if not found:
-        return out
     bound = np.searchsorted(text, np.arange(block.n + 1))
-    best: dict = {}
-    for t, i, diagonal in np.unique(np.concatenate(found), axis=0).tolist():
+    best: dict = {(t, i): (len(index.items[i]), len(index.items[i]), int(bound[t]) - at, 0) for t, i, at in _whole(word, text, index)}
+    for t, i, diagonal in np.unique(np.concatenate(found), axis=0).tolist() if found else []:
         item = index.items[i]
         first, last = max(diagonal, int(bound[t])), min(diagonal + len(item), int(bound[t + 1]))
         same = word[first:last] == item[first - diagonal : last - diagonal]

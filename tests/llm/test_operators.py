@@ -323,6 +323,17 @@ def test_leaks(spark):
     assert decontam.find_leaks(no_documents(spark), items).count() == 0
 
 
+def test_leaks_of_short_items(spark):
+    """An item below min_tokens is found where it stands whole, in any case, and nowhere else."""
+    five, one = " ".join(prose(60).split()[:5]), "zyxwvu"
+    texts = [f"{prose(61)} {five.upper()}. {prose(62)} {five}", edited(five, 2), " ".join(five.split()[:4]), one, None, f"a {one} b {one}", five, five.replace(" ", "\n")]
+    items = spark.createDataFrame([(1, five), (2, five.title()), (3, one), (4, "..."), (5, prose(63, 20))], "item_id long, text string")
+    for size in (8 << 20, 40):
+        got = {r.doc_id: sorted((x.item_id, x.n_match, x.n_tokens, x.item_tokens, x.doc_start, x.item_start) for x in r.leaks) for r in decontam.find_leaks(documents(spark, texts), items, max_broadcast=size).collect()}
+        both = lambda at: [(i, 5, 5, 5, at, 0) for i in (1, 2)]
+        assert got == {0: both(120), 1: [], 2: [], 3: [(3, 1, 1, 1, 0, 0)], 4: [], 5: [(3, 1, 1, 1, 1, 0)], 6: both(0), 7: both(0)}
+
+
 def test_leaks_query_against_brute_force(spark):
     words = lambda s: re.findall(r"[^\W_]+", s.lower())
     items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
