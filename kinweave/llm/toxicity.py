@@ -11,7 +11,9 @@ Training uses a bounded sample of the labelled documents outside the held-out
 fold (``max_sample``, in hash order of their ids).  Lexicon words are the
 seeds below and words of the sample that mark toxic documents; a word's
 support counts different documents only, so copies of one text do not make a
-lexicon.  Weights are smoothed log odds.
+lexicon.  Every word with a support of ``min_support`` toxic documents and a
+share of ``min_share`` is kept; a sample with fewer toxic documents than
+``min_support`` teaches no word beside the seeds.  Weights are smoothed log odds.
 
 Defined results: a null or empty text has no matches and gets the score of its
 empty features; without labels of both kinds the seeds weigh alike and the
@@ -150,7 +152,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, max_sample: int, doc_id: str =
     return docs.select(doc_id, text).join(F.broadcast(picked), doc_id).select(F.col(text).alias("text"), "toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, max_sample: int = 40_000, min_support: int = 6, min_share: float = 0.8, max_words: int = 1000, **columns) -> Lexicon:
+def train(docs: DataFrame, labels: DataFrame, max_sample: int = 40_000, min_support: int = 6, min_share: float = 0.8, **columns) -> Lexicon:
     """A lexicon from the labelled documents; ``labels`` must not hold held-out rows."""
     sample = sample_of(docs, labels, max_sample, **columns)
 
@@ -175,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, max_sample: int = 40_000, min_supp
     each = each.groupBy("word").agg(F.sum("toxic").alias("support"), F.count("*").alias("of"), F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
     seeds = sorted({fold(w) for w in SEEDS})
     good = F.col("word").isin(seeds) | ((F.col("support") >= min_support) & (F.col("support") >= min_share * F.col("of")) & (F.col("n_toxic") >= min_share * F.col("n")))
-    rows = each.filter(good).orderBy(F.desc("support"), "word").limit(max_words).collect()
+    rows = each.filter(good).orderBy(F.desc("support"), "word").collect()  # the sample bounds them
     totals = sample.groupBy("toxic").count().collect()
     n = {r.toxic: r["count"] for r in totals}
     weights = dict.fromkeys(seeds, 1.0)

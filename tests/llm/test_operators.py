@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -167,6 +168,15 @@ def test_toxicity_held_out(spark):
     assert ((m.predicted == m.toxic).mean()) > 0.93
 
 
+def test_toxicity_keeps_every_learned_word(spark):
+    words = ["".join(w) for w in itertools.islice(itertools.product("bcdfghkm", repeat=4), 1100)]
+    rnd = np.random.default_rng(3)
+    texts = [" ".join(rnd.permutation(words)) for _ in range(8)] + [prose(i) for i in range(8)]
+    docs = documents(spark, texts)
+    lex = toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") < 8).cast("int").alias("toxic")))
+    assert {toxicity.fold(w) for w in words} <= {w for w, x in lex.weights.items() if x > 0}
+
+
 def test_toxicity_awkward(spark):
     docs = odd_documents(spark)
     labels = spark.createDataFrame([(1, 0), (None, 1), (3, None)], "doc_id long, toxic int")
