@@ -1,32 +1,34 @@
 """Exact substring dedup: remove every byte of a 400-byte string that starts anywhere else.
 
-Finding the strings that can repeat.  Each window of 400 bytes is assigned to
-the 32-byte gram of least hash inside it (its anchor); equal windows have equal
-anchors at equal offsets.  The windows of one anchor occurrence are a segment,
-about 185 starts long.  Anchors that occur once cannot hold a repeat and are
-dropped after a count; equal segments are one segment with a multiplicity, so
-copies and the inner parts of shared passages are settled by a map-side count.
-
-Finding the strings that do repeat.  Segments whose anchor has several
-different texts are dealt by anchor to an index family per task: every batch
-of segments becomes a suffix array of its window starts, is merge-scanned
-against the existing levels, and joins them as the newest level; levels of
-about equal size are merged, so there are logarithmically many and every
-suffix is moved logarithmically often.  A suffix array here is truncated at
-the match length: suffixes are ordered by their first two bytes, then by a
-fingerprint of their first 400 bytes (equal prefixes are neighbours, which is
-all that a match needs), and a match is confirmed by a second fingerprint.
-Batches are read in pieces, so a task holds keys of its suffixes and never
-their texts.
-
-An anchor's segments stay together, so a passage that very many documents
-share brings only its distinct edges to one task: the inner segments are equal
-and arrive once.
+Which strings can repeat.  Each window of 400 bytes is assigned to the 32-byte
+gram of least hash inside it (its anchor); equal windows have equal anchors at
+equal offsets.  The windows of one anchor occurrence are a segment, about 120
+starts long.  Anchors that occur once cannot hold a repeat and are dropped
+after a count; equal segments become one segment with a multiplicity, so that
+copies are pre-aggregated before anything is dealt by content.
+
+Which strings do repeat.  All segments that are left are dealt by anchor to
+logarithmic families of suffix arrays.  A batch of segments gets a suffix
+array: its window starts in the order of their first 400 bytes, eight bytes
+compared at a time, neighbours that agree in all of them being repeats.  The
+batch is then scanned against the levels of the family, from long match to
+long match, and what is new becomes the newest level; levels of about equal
+size are merged, so there are logarithmically many and every suffix is moved
+logarithmically often.  Segments arrive in order of their anchors, and a family
+ends with an anchor once it holds a few MB, so memory does not grow with the
+input of a task.
+
+A passage that very many documents share has as many different edges, all of
+one anchor.  Anchors of more than 1/2000 of all different segments (at most
+2,000 anchors) are not dealt whole: fingerprints of their windows are dealt by
+range instead, in packs, and each range counts its own.  Joins on anchors and
+segments spread the frequent ones likewise.
 
 Defined results: a null or empty text has no bytes and no spans; texts under
-400 bytes lose nothing; matches overlap freely and are judged on the input;
-rows that repeat an id and text are separate texts, so both lose what they
-share; other columns pass through.
+400 bytes lose nothing, and very long ones are cut up like others, whole;
+matches overlap freely and are judged on the input; rows that repeat an id and
+text are separate texts, so both lose what they share; other columns pass
+through, and one that bears a result's name is replaced by the result.
 """
 
 from __future__ import annotations
@@ -39,10 +41,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import textvec as tv
-from kinweave.llm.common import stored, table
+from kinweave.llm.common import join_spread, stored, table
 
 LENGTH, GRAM = 400, 32
+SHARE = 2000  # an anchor of more than 1/SHARE of all different segments is dealt window by window
 _LIMIT = 1 << 20
+_FAMILY = 4 << 20
+_RANGE = 1 << 18
 _LOW28 = np.uint64((1 << 28) - 1)
 
 
@@ -76,66 +81,128 @@ def segments(block: tv.Block, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     return owner, h[anchor[first]], block.hashes(low, high + length, sums), low - block.off[owner], high - block.off[owner]
 
 
-class Level:
-    """A suffix array: keys in order, the second fingerprint and the number of each suffix."""
-
-    def __init__(self, key: np.ndarray, proof: np.ndarray, number: np.ndarray):
-        self.key, self.proof, self.number = key, proof, number
-
-    def scan(self, key: np.ndarray, proof: np.ndarray) -> np.ndarray:
-        """For each key of a sorted batch: the number of the equal suffix here, else -1."""
-        at = np.searchsorted(self.key, key)
-        at[at == len(self.key)] = 0
-        same = (self.key[at] == key) & (self.proof[at] == proof)
-        return np.where(same, self.number[at], -1)
-
-    def merged(self, other: Level) -> Level:
-        at = np.searchsorted(self.key, other.key)
-        return Level(*(np.insert(a, at, b) for a, b in ((self.key, other.key), (self.proof, other.proof), (self.number, other.number))))
+class SuffixArray:
+    """Starts in a text, in the order of the ``length`` bytes from each, without repeats; ``number`` names them outside."""
+
+    def __init__(self, text: np.ndarray, length: int):
+        self.size, self.length = len(text), length
+        self.text = np.concatenate([text, np.zeros(8, np.uint8)])
+        self.last = -(-length // 8) - 1  # words of eight bytes; of the last one only the first bytes count
+        self.mask = np.uint64(2**64 - 1) << np.uint64(8 * (8 * (self.last + 1) - length))
+        self.raw = np.lib.stride_tricks.as_strided(self.text[:8].view(np.uint64), (len(text) + 1,), (1,))
+        self.at = self.number = np.zeros(0, np.int64)
+
+    def word(self, at: np.ndarray, k) -> np.ndarray:
+        """The k-th eight bytes from each start, so that numbers compare as bytes do."""
+        w = self.raw[at + 8 * k].byteswap()
+        return np.where(k == self.last, w & self.mask, w)
+
+    def agree(self, at: np.ndarray, other: SuffixArray, there: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The common prefix, in whole words, of suffixes here and there that agree in the first k."""
+        k = k.copy()
+        open_ = np.flatnonzero(k <= self.last)
+        while len(open_):
+            same = self.word(at[open_], k[open_]) == other.word(there[open_], k[open_])
+            open_ = open_[same]
+            k[open_] += 1
+            open_ = open_[k[open_] <= self.last]
+        return k
+
+    def sort(self, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Take over the starts; (numbers of repeats left out, numbers of those that stand for them)."""
+        first = self.word(at, 0)
+        order = np.argsort(first, kind="stable")
+        first = first[order]
+        new = np.concatenate([[True], first[1:] != first[:-1]])[: len(at)]
+        alike = np.zeros(len(at), bool)  # like the one before in all words
+        idx, group, k = _ties(new, np.ones(len(at), np.int64), self.last)
+        while len(idx):
+            start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            size = np.diff(np.append(start, len(idx)))
+            common = self.agree(at[order[idx]], self, np.repeat(at[order[idx[start]]], size), k)
+            k = np.repeat(np.minimum.reduceat(common, start), size)
+            whole = k > self.last
+            alike[np.setdiff1d(idx[whole], idx[start], assume_unique=True)] = True
+            idx, group, k = idx[~whole], group[~whole], k[~whole]
+            w = self.word(at[order[idx]], k)
+            o = np.lexsort((w, group))
+            order[idx], w = order[idx[o]], w[o]
+            new = np.ones(len(idx), bool)
+            new[1:] = (group[1:] != group[:-1]) | (w[1:] != w[:-1])
+            k += 1
+            alike[idx[~new & (k > self.last)]] = True
+            tied, group, k = _ties(new, k, self.last)
+            idx = idx[tied]
+        head = np.flatnonzero(~alike)
+        self.at, self.number, self.first = at[order[head]], number[order[head]], first[head]
+        return number[order[alike]], np.repeat(self.number, np.diff(np.append(head, len(at))) - 1)
+
+    def find(self, batch: SuffixArray) -> np.ndarray:
+        """For each suffix of a sorted batch: the number of the one here that matches in all bytes, else -1."""
+        low, high = (np.searchsorted(self.first, batch.first, side) for side in ("left", "right"))
+        out = np.full(len(low), -1)
+        open_ = np.flatnonzero(high > low)
+        low, high, k = low[open_], high[open_], 1
+        while len(open_):
+            one = high - low == 1
+            if one.any() or k > self.last:
+                got = self.agree(self.at[low[one]], batch, batch.at[open_[one]], np.full(one.sum(), k)) > self.last
+                out[open_[one][got]] = self.number[low[one][got]]
+                open_, low, high = open_[~one], low[~one], high[~one]
+            w = batch.word(batch.at[open_], k)
+            low, high = self._bound(low, high, w, k, False), self._bound(low, high, w, k, True)
+            go = high > low
+            open_, low, high, k = open_[go], low[go], high[go], k + 1
+        return out
+
+    def _bound(self, low: np.ndarray, high: np.ndarray, w: np.ndarray, k: int, right: bool) -> np.ndarray:
+        low, high = low.copy(), high.copy()
+        while (go := low < high).any():
+            middle = (low + high) // 2
+            own = self.word(self.at[np.minimum(middle, len(self.at) - 1)], k)
+            up = go & ((own <= w) if right else (own < w))
+            low, high = np.where(up, middle + 1, low), np.where(go & ~up, middle, high)
+        return low
+
+    def merged(self, other: SuffixArray) -> SuffixArray:
+        out = SuffixArray(np.concatenate([self.text[: self.size], other.text[: other.size]]), self.length)
+        out.sort(np.concatenate([self.at, other.at + self.size]), np.concatenate([self.number, other.number]))
+        return out
+
+
+def _ties(new: np.ndarray, k: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index, group, words compared) of the elements that are alike so far and have words left."""
+    tied = ~new
+    tied[:-1] |= ~new[1:]
+    idx = np.flatnonzero(tied & (k <= last))
+    return idx, np.cumsum(new)[idx], k[idx]
 
 
 class IndexFamily:
     """Levels of suffix arrays whose sizes at least double from the newest to the oldest."""
 
     def __init__(self, length: int = LENGTH):
-        self.length, self.levels, self.repeats, self.n = length, [], [], 0
+        self.length, self.levels, self.repeat, self.n_bytes = length, [], np.zeros(0, bool), 0
 
     def add(self, block: tv.Block) -> None:
         """Index the windows of a batch of segments and mark all that repeat."""
         starts = np.maximum(np.diff(block.off) - self.length + 1, 0)
-        total = int(starts.sum())
+        total, before = int(starts.sum()), len(self.repeat)
         at = np.arange(total) - np.repeat(np.cumsum(starts) - starts, starts) + np.repeat(block.off[:-1], starts)
-        sums = block.sums()
-        whole = block.hashes(at, at + self.length, sums)
-        half = block.hashes(at, at + self.length // 2, sums)
-        prefix = block.buf[at].astype(np.uint64) << np.uint64(56) | block.buf[at + 1].astype(np.uint64) << np.uint64(48)
-        key = prefix | whole >> np.uint64(16)
-        proof = tv.mix(whole ^ half * np.uint64(3))
-        order = np.argsort(key, kind="stable")
-        key, proof = key[order], proof[order]
-        repeat = np.zeros(total, bool)
-        same = np.zeros(total, bool)
-        same[1:] = (key[1:] == key[:-1]) & (proof[1:] == proof[:-1])
-        repeat[order[same]] = True
-        repeat[order[np.flatnonzero(same) - 1]] = True
-        lone = ~same
-        key, proof, order = key[lone], proof[lone], order[lone]
-        known = np.full(len(key), -1)
+        self.repeat = np.concatenate([self.repeat, np.zeros(total, bool)])
+        self.n_bytes += len(block.buf)
+        batch = SuffixArray(block.buf, self.length)
+        for pair in batch.sort(at, np.arange(before, before + total)):
+            self.repeat[pair] = True
         for level in self.levels:
-            known = np.maximum(known, level.scan(key, proof))
-        repeat[order[known >= 0]] = True
-        self.repeats.append(repeat)
-        bounds = np.cumsum([0, *(len(r) for r in self.repeats)])
-        old = known[known >= 0]
-        for k in np.unique(np.searchsorted(bounds, old, "right") - 1) if len(old) else ():
-            own = old[(old >= bounds[k]) & (old < bounds[k + 1])]
-            self.repeats[k][own - bounds[k]] = True
-        new = known < 0
-        level = Level(key[new], proof[new], order[new] + self.n)
-        self.n += total
-        while self.levels and len(self.levels[-1].key) <= 2 * len(level.key):
-            level = self.levels.pop().merged(level)
-        self.levels.append(level)
+            known = level.find(batch)
+            old = known >= 0
+            self.repeat[known[old]] = True
+            self.repeat[batch.number[old]] = True
+            batch.at, batch.number, batch.first = batch.at[~old], batch.number[~old], batch.first[~old]
+        while self.levels and len(self.levels[-1].at) <= 2 * len(batch.at):
+            batch = self.levels.pop().merged(batch)
+        self.levels.append(batch)
 
 
 def _runs(repeat: np.ndarray, length: int) -> tuple[list[int], list[int]]:
@@ -143,29 +210,54 @@ def _runs(repeat: np.ndarray, length: int) -> tuple[list[int], list[int]]:
     return np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1 + length).tolist()
 
 
-def _index(length: int):
+_FOUND = "anchor long, seg long, n long, first array<int>, last array<int>"
+_SPANS = pa.list_(pa.int32())
+
+
+def _found(rows: list) -> pa.RecordBatch:
+    anchor, seg, n, first, last = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(seg, pa.int64()), pa.array(n, pa.int64()), pa.array(first, _SPANS), pa.array(last, _SPANS)], names=["anchor", "seg", "n", "first", "last"])
+
+
+def _index(length: int, family_bytes: int):
+    """Rows (grp, anchor, seg, n, part) in order of grp, the anchor, are segments; those without anchor are packs of a range."""
+
+    def answered(family, names):
+        at, out = 0, []
+        for anchor, seg, n, size in names:
+            repeat = family.repeat[at : at + size]
+            at += size
+            first, last = _runs(repeat | (n > 1), length)
+            if first:
+                out.append((anchor, seg, n, first, last))
+        return out
+
     def run(batches):
-        family, names, sizes = IndexFamily(length), [], []
+        family, names, packs, grp = IndexFamily(length), [], [], None
         for batch in batches:
-            names.append((batch.column(0), batch.column(1)))
-            for block in tv.blocks(_as_text(batch.column(2)), _LIMIT):
-                sizes.append(np.maximum(np.diff(block.off) - length + 1, 0))
+            packed = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero(packed).tolist():
+                if packs and batch.column(0)[i].as_py() != grp:
+                    yield from _counted(packs, length)
+                    packs = []
+                grp = batch.column(0)[i].as_py()
+                packs.append(batch.column(4)[i].as_py())
+            rows = batch.filter(pa.array(~packed))
+            anchors = rows.column(1).to_numpy(zero_copy_only=False)
+            keys = [rows.column(i).to_pylist() for i in (1, 2, 3)]
+            for block in tv.blocks(_as_text(rows.column(4)), _LIMIT):
+                if names and family.n_bytes >= family_bytes and anchors[block.first] != names[-1][0]:
+                    if out := answered(family, names):
+                        yield _found(out)
+                    family, names = IndexFamily(length), []
+                own = slice(block.first, block.first + block.n)
+                size = np.maximum(np.diff(block.off) - length + 1, 0).tolist()
+                names += zip(*(k[own] for k in keys), size, strict=True)
                 family.add(block)
-        if not names:
-            return
-        repeat = np.concatenate(family.repeats)
-        bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        del family
-        i = 0
-        for anchor, seg in names:
-            start, end = [], []
-            for k in range(i, i + len(anchor)):
-                s, e = _runs(repeat[bounds[k] : bounds[k + 1]], length)
-                start.append(s)
-                end.append(e)
-            i += len(anchor)
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([anchor, seg, pa.array(start, kind), pa.array(end, kind)], names=["anchor", "seg", "first", "last"])
+        if packs:
+            yield from _counted(packs, length)
+        if out := answered(family, names):
+            yield _found(out)
 
     return run
 
@@ -176,8 +268,58 @@ def _as_text(column: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(column), [valid, offsets, data], offset=column.offset)
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(k, th, spans): for each text that repeats something, unmerged spans of its bytes; ``rows`` as of :func:`_keyed`."""
+_WINDOW = np.dtype([("key", "<u8"), ("proof", "<u8"), ("piece", "<u4"), ("start", "<u4")])
+_PIECE = np.dtype([("anchor", "<i8"), ("seg", "<i8"), ("n", "<i8")])
+
+
+def _packs(pieces: list, length: int, bits: int):
+    """(range, pack) of the windows of some segments (bytes, anchor, seg, n): fingerprints in order, and whose they are."""
+    for block in tv.blocks(_as_text(pa.array([p[0] for p in pieces], pa.binary())), _LIMIT):
+        starts = np.diff(block.off) - length + 1
+        piece = np.repeat(np.arange(block.n), starts)
+        start = np.arange(len(piece)) - np.repeat(np.cumsum(starts) - starts, starts)
+        at, sums = start + block.off[:-1][piece], block.sums()
+        window = np.empty(len(piece), _WINDOW)
+        window["key"], window["piece"], window["start"] = block.hashes(at, at + length, sums), piece, start
+        window["proof"] = tv.mix(block.hashes(at, at + length // 2, sums) + np.uint64(1))
+        window = window[np.argsort(window["key"], kind="stable")]
+        bound = np.searchsorted(window["key"] >> np.uint64(63 - bits) >> np.uint64(1), np.arange((1 << bits) + 1))
+        names = np.array([p[1:] for p in pieces[block.first : block.first + block.n]], np.int64).view(_PIECE).ravel()
+        for r in np.flatnonzero(np.diff(bound)).tolist():
+            own = window[bound[r] : bound[r + 1]].copy()
+            used, own["piece"] = np.unique(own["piece"], return_inverse=True)
+            yield r, len(used).to_bytes(8, "little") + names[used].tobytes() + own.tobytes()
+
+
+def _counted(packs: list[bytes], length: int):
+    """The repeated windows of one range."""
+    names, windows, n = [], [], 0
+    for raw in packs:
+        size = int.from_bytes(raw[:8], "little")
+        names.append(np.frombuffer(raw, _PIECE, size, 8))
+        own = np.frombuffer(raw, _WINDOW, offset=8 + size * _PIECE.itemsize).copy()
+        own["piece"] += n
+        windows.append(own)
+        n += size
+    name, window = np.concatenate(names), np.concatenate(windows)
+    order = np.lexsort((window["proof"], window["key"]))
+    key, proof, many = window["key"][order], window["proof"][order], name["n"][window["piece"][order]] > 1
+    same = (key[1:] == key[:-1]) & (proof[1:] == proof[:-1])
+    many[1:] |= same
+    many[:-1] |= same
+    hit = window[order[many]]
+    hit = hit[np.lexsort((hit["start"], hit["piece"]))]
+    if len(hit):
+        piece, first = np.unique(hit["piece"], return_index=True)
+        starts = [x.astype(np.int64) for x in np.split(hit["start"], first[1:])]
+        yield _found([(*name[p].tolist(), x.tolist(), (x + length).tolist()) for p, x in zip(piece, starts, strict=True)])
+
+
+def repeated_spans(rows: DataFrame, length: int = LENGTH, share: int = SHARE, least: int = 64, family_bytes: int = _FAMILY) -> DataFrame:
+    """(k, th, spans): for each text that repeats something, unmerged spans of its bytes; ``rows`` as of :func:`_keyed`.
+
+    Anchors of more than 1/``share`` of all different segments, and more than ``least``, are dealt window by window.
+    """
 
     def cut_up(batches):
         for batch in batches:
@@ -188,35 +330,48 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(low << 32 | high)], names=["k", "th", "anchor", "seg", "at"])
 
     s = stored(rows.select("k", "th", "t").mapInArrow(cut_up, "k long, th long, anchor long, seg long, at long"))
-    again = s.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("seg") < F.max("seg")).alias("several")).filter("n > 1")
-    g = s.join(again.select("anchor", "several"), "anchor").groupBy("anchor", "seg", "several").agg(F.count("*").alias("n"), F.min(F.struct("k", "th", "at")).alias("rep"))
-    g = stored(g.filter("n > 1 or several"))
-    wanted = g.filter("several").select("rep.k", "rep.th", F.struct("anchor", "seg", "rep.at").alias("piece")).groupBy("k", "th").agg(F.collect_list("piece").alias("pieces"))
+    again = stored(s.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
+    s = stored(join_spread(s, again, ["anchor"], ["k", "at"]).select(*s.columns))
+    g = stored(s.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("k", "th", "at")).alias("rep")))
+    most = max(least, g.count() // share)
+    heavy = g.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most).select("anchor", F.lit(True).alias("heavy"))
+    g = g.join(F.broadcast(heavy), "anchor", "left")  # at most ``share`` anchors
+    n_heavy = g.filter("heavy").agg(F.sum(F.col("rep.at").bitwiseAND(F.lit(0xFFFFFFFF)) - F.shiftright("rep.at", 32) + 1)).first()[0] or 0
+    bits = max(0, (n_heavy // _RANGE).bit_length())
+    wanted = g.select("rep.k", "rep.th", F.struct("anchor", "seg", "n", "rep.at", "heavy").alias("piece")).groupBy("k", "th").agg(F.collect_list("piece").alias("pieces"))
     # all columns go on, so that this shuffle of the texts is the one that the result is joined from
     texts = rows.join(wanted, ["k", "th"]).select("t", "pieces", *(c for c in rows.columns if c != "t"))
 
     def fetch(batches):
+        def parts(rows, packs):
+            names = ["grp", "anchor", "seg", "n", "part"]
+            own = [[x[i] for x in rows] for i in range(4)]
+            none = [None] * len(packs)
+            arrays = [pa.array(own[i] + x, t) for i, x, t in zip((1, 1, 2, 3, 0), ([r for r, _ in packs], none, none, none, [p for _, p in packs]), (pa.int64(),) * 4 + (pa.binary(),), strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
         for batch in batches:
+            plain, heavy, size = [], [], 0
             for t, pieces in zip(tv.strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 raw = t.as_buffer()
-                anchor, seg, part = [], [], []
                 for p in pieces:
                     low, high = p["at"] >> 32, p["at"] & 0xFFFFFFFF
-                    anchor.append(p["anchor"])
-                    seg.append(p["seg"])
-                    part.append(raw[low : high + length].to_pybytes())
-                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(seg, pa.int64()), pa.array(part, pa.binary())], names=["anchor", "seg", "part"])
+                    (heavy if p["heavy"] else plain).append((raw[low : high + length].to_pybytes(), p["anchor"], p["seg"], p["n"]))
+                    size += high + length - low
+                if size >= 4 * _LIMIT:
+                    yield parts(plain, list(_packs(heavy, length, bits)))
+                    plain, heavy, size = [], [], 0
+            if size:
+                yield parts(plain, list(_packs(heavy, length, bits)))
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = texts.mapInArrow(fetch, "anchor long, seg long, part binary").repartition(n, "anchor")
-    found = parts.mapInArrow(_index(length), "anchor long, seg long, first array<int>, last array<int>")
-    found = found.groupBy("anchor", "seg").agg(F.first("first").alias("first"), F.first("last").alias("last"))
-    marked = g.select("anchor", "seg", "n").join(found, ["anchor", "seg"], "left").filter("n > 1 or size(first) > 0")
-    low, high = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
-    whole = F.array(F.struct(low.cast("int").alias("a"), (high + length).cast("int").alias("b")))
-    part = F.zip_with("first", "last", lambda x, y: F.struct((low + x).cast("int").alias("a"), (low + y).cast("int").alias("b")))
-    back = s.join(marked, ["anchor", "seg"]).select("k", "th", F.when(F.col("n") > 1, whole).otherwise(part).alias("spans"))
-    return back.groupBy("k", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    dealt = texts.mapInArrow(fetch, "grp long, anchor long, seg long, n long, part binary").repartition(n, "grp").sortWithinPartitions("grp")
+    found = dealt.mapInArrow(_index(length, family_bytes), _FOUND)
+    found = stored(found.groupBy("anchor", "seg", "n").agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("last")).alias("last")))
+    low = F.shiftright("at", 32)
+    spans = F.zip_with("first", "last", lambda x, y: F.struct((low + x).cast("int").alias("a"), (low + y).cast("int").alias("b")))
+    back = join_spread(s, found, ["anchor", "seg"], ["k", "at"]).select("k", "th", spans.alias("spans"))
+    return back.groupBy("k", "th").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str, *more) -> DataFrame:
@@ -224,12 +379,15 @@ def _keyed(docs: DataFrame, doc_id: str, text: str, *more) -> DataFrame:
     return docs.select(F.xxhash64(F.col(doc_id)).alias("k"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("t"), *more)
 
 
-def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` with ``n_bytes``, ``removed`` (start and end of each removed run), and ``kept_bytes`` added (or replaced)."""
+def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, **options) -> DataFrame:
+    """``docs`` with ``n_bytes``, ``removed`` (start and end of each removed run), and ``kept_bytes`` added (or replaced).
+
+    ``options`` are those of :func:`repeated_spans`.
+    """
     added = ("n_bytes", "removed", "kept_bytes")
     old = [c for c in docs.columns if c.lower() not in added]
     rows = _keyed(docs, doc_id, text, F.struct(*(F.col(f"`{c}`") for c in old if c != text)).alias("row")) if len(old) > 1 else _keyed(docs, doc_id, text)
-    spans = repeated_spans(rows, length)
+    spans = repeated_spans(rows, length, **options)
     rows = rows.join(spans, ["k", "th"], "left")
     has_row = "row" in rows.columns
     rows = rows.select("t", "spans", *(["row"] if has_row else []))

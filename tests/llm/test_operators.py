@@ -299,6 +299,37 @@ def test_substrings_query(spark):
     assert [tuple(r)[1:] for r in got] == suffix_dedup.brute_force([d.text for d in docs])
 
 
+def test_substrings_of_a_frequent_anchor(spark):
+    """Edges of a passage that all texts share, dealt whole and window by window: the same spans as by brute force."""
+    rnd = np.random.default_rng(12)
+    letters = lambda n: "".join(rnd.choice(list("abcdefgh"), n))
+    shared = letters(700)
+    texts = [letters(rnd.integers(0, 500)) + shared + letters(rnd.integers(0, 500)) for _ in range(40)]
+    texts += [texts[3], texts[4][50:] + "x", shared[10:] + texts[5][-300:], "q" * 1500]
+    want = suffix_dedup.brute_force(texts)
+    for options in ({}, {"least": 1, "share": 1000}, {"family_bytes": 1}):
+        out = suffix_dedup.drop_repeats(documents(spark, texts), **options).orderBy("doc_id").collect()
+        assert [(r.n_bytes, sum(x.b - x.a for x in r.removed), len(r.removed), hashlib.sha256(r.kept_bytes).hexdigest()) for r in out] == want
+
+
+@pytest.mark.parametrize("length", [13, 16, 40])
+def test_suffix_array_is_sorted(length):
+    rnd = np.random.default_rng(length)
+    text = bytes(rnd.integers(97, 99, 300, dtype=np.uint8))
+    text = text[:150] + text[20:120] + text[:90]
+    a = suffix_dedup.SuffixArray(np.frombuffer(text, np.uint8), length)
+    at = np.arange(len(text) - length + 1)
+    gone, kept = a.sort(at, at)
+    of = lambda i: text[i : i + length]
+    assert [of(i) for i in a.at] == sorted({of(i) for i in at})
+    assert len(gone) + len(a.at) == len(at) and all(of(x) == of(y) and x != y for x, y in zip(gone, kept, strict=True))
+    b = suffix_dedup.SuffixArray(np.frombuffer(text[100:200] + b"zzz" * 20, np.uint8), length)
+    b.sort(np.arange(161 - length), np.arange(161 - length))
+    there = bytes(b.text)
+    want = {x: {of(i): i for i in a.number}.get(x, -1) for x in (there[i : i + length] for i in b.at)}
+    assert a.find(b).tolist() == [want[there[i : i + length]] for i in b.at]
+
+
 def test_index_family_keeps_few_levels():
     import pyarrow as pa
 
@@ -308,7 +339,12 @@ def test_index_family_keeps_few_levels():
     for i in range(40):
         for block in tv.blocks(pa.array([prose(i)])):
             family.add(block)
-    assert len(family.levels) <= 8 and not np.concatenate(family.repeats).any()
+    assert len(family.levels) <= 8 and not family.repeat.any()
+    sizes = [len(x.at) for x in family.levels]
+    assert all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+    for block in tv.blocks(pa.array([prose(7)])):
+        family.add(block)
+    assert family.repeat.sum() == 2 * (len(prose(7)) - 39)
 
 
 def test_substrings_awkward(spark):
