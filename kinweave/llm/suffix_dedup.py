@@ -85,33 +85,39 @@ class SuffixArray:
     """Starts in a text, in the order of the ``length`` bytes from each, without repeats; ``number`` names them outside."""
 
     def __init__(self, text: np.ndarray, length: int):
-        self.size, self.length = len(text), length
-        self.text = np.concatenate([text, np.zeros(8, np.uint8)])
+        self.text, self.length = text, length
         self.last = -(-length // 8) - 1  # words of eight bytes; of the last one only the first bytes count
-        self.mask = np.uint64(2**64 - 1) << np.uint64(8 * (8 * (self.last + 1) - length))
-        self.raw = np.lib.stride_tricks.as_strided(self.text[:8].view(np.uint64), (len(text) + 1,), (1,))
+        self.rest = np.uint64(8 * (8 * (self.last + 1) - length))
+        padded = np.concatenate([text, np.zeros(8, np.uint8)])
+        #: the eight bytes from each place, as numbers that compare as the bytes do
+        self.words = np.array(np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(text) + 1,), (1,))).byteswap(True)
         self.at = self.number = np.zeros(0, np.int64)
 
     def word(self, at: np.ndarray, k) -> np.ndarray:
-        """The k-th eight bytes from each start, so that numbers compare as bytes do."""
-        w = self.raw[at + 8 * k].byteswap()
-        return np.where(k == self.last, w & self.mask, w)
+        """The k-th word of each suffix."""
+        w = self.words.take(at + 8 * k)
+        if self.rest:
+            w = np.where(k == self.last, w >> self.rest, w)
+        return w
 
     def agree(self, at: np.ndarray, other: SuffixArray, there: np.ndarray, k: np.ndarray) -> np.ndarray:
         """The common prefix, in whole words, of suffixes here and there that agree in the first k."""
         k = k.copy()
         open_ = np.flatnonzero(k <= self.last)
+        x, y, j = at[open_], there[open_], k[open_]
         while len(open_):
-            same = self.word(at[open_], k[open_]) == other.word(there[open_], k[open_])
-            open_ = open_[same]
-            k[open_] += 1
-            open_ = open_[k[open_] <= self.last]
+            same = np.flatnonzero(self.word(x, j) == other.word(y, j))
+            open_, x, y, j = open_[same], x[same], y[same], j[same] + 1
+            k[open_] = j
+            if len(j) and j.max() > self.last:
+                same = np.flatnonzero(j <= self.last)
+                open_, x, y, j = open_[same], x[same], y[same], j[same]
         return k
 
     def sort(self, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Take over the starts; (numbers of repeats left out, numbers of those that stand for them)."""
         first = self.word(at, 0)
-        order = np.argsort(first, kind="stable")
+        order = np.argsort(first)
         first = first[order]
         new = np.concatenate([[True], first[1:] != first[:-1]])[: len(at)]
         alike = np.zeros(len(at), bool)  # like the one before in all words
@@ -137,36 +143,45 @@ class SuffixArray:
         self.at, self.number, self.first = at[order[head]], number[order[head]], first[head]
         return number[order[alike]], np.repeat(self.number, np.diff(np.append(head, len(at))) - 1)
 
-    def find(self, batch: SuffixArray) -> np.ndarray:
-        """For each suffix of a sorted batch: the number of the one here that matches in all bytes, else -1."""
+    def find(self, batch: SuffixArray) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix of a sorted batch: the number of the one here that matches in all bytes, else -1, and its place in this order."""
         low, high = (np.searchsorted(self.first, batch.first, side) for side in ("left", "right"))
-        out = np.full(len(low), -1)
+        found, place = np.full(len(low), -1), low.copy()
         open_ = np.flatnonzero(high > low)
         low, high, k = low[open_], high[open_], 1
         while len(open_):
             one = high - low == 1
-            if one.any() or k > self.last:
-                got = self.agree(self.at[low[one]], batch, batch.at[open_[one]], np.full(one.sum(), k)) > self.last
-                out[open_[one][got]] = self.number[low[one][got]]
+            if one.any():
+                at, there, own = self.at[low[one]], batch.at[open_[one]], open_[one]
+                n = self.agree(at, batch, there, np.full(len(own), k))
+                whole = n > self.last
+                found[own[whole]] = self.number[low[one][whole]]
+                own, at, there, n = own[~whole], at[~whole], there[~whole], n[~whole]
+                place[own] = low[one][~whole] + (self.word(at, n) < batch.word(there, n))
                 open_, low, high = open_[~one], low[~one], high[~one]
             w = batch.word(batch.at[open_], k)
             low, high = self._bound(low, high, w, k, False), self._bound(low, high, w, k, True)
+            place[open_] = low
             go = high > low
             open_, low, high, k = open_[go], low[go], high[go], k + 1
-        return out
+        return found, place
 
     def _bound(self, low: np.ndarray, high: np.ndarray, w: np.ndarray, k: int, right: bool) -> np.ndarray:
         low, high = low.copy(), high.copy()
         while (go := low < high).any():
             middle = (low + high) // 2
-            own = self.word(self.at[np.minimum(middle, len(self.at) - 1)], k)
+            own = self.word(self.at.take(middle, mode="clip"), k)
             up = go & ((own <= w) if right else (own < w))
             low, high = np.where(up, middle + 1, low), np.where(go & ~up, middle, high)
         return low
 
-    def merged(self, other: SuffixArray) -> SuffixArray:
-        out = SuffixArray(np.concatenate([self.text[: self.size], other.text[: other.size]]), self.length)
-        out.sort(np.concatenate([self.at, other.at + self.size]), np.concatenate([self.number, other.number]))
+    def merged(self, other: SuffixArray, place: np.ndarray) -> SuffixArray:
+        """This one with the suffixes of another, whose places here are known."""
+        out = SuffixArray.__new__(SuffixArray)
+        out.length, out.last, out.rest = self.length, self.last, self.rest
+        size = len(self.text)
+        out.text, out.words = np.concatenate([self.text, other.text]), np.concatenate([self.words[:size], other.words])
+        out.at, out.number, out.first = np.insert(self.at, place, other.at + size), np.insert(self.number, place, other.number), np.insert(self.first, place, other.first)
         return out
 
 
@@ -195,13 +210,14 @@ class IndexFamily:
         for pair in batch.sort(at, np.arange(before, before + total)):
             self.repeat[pair] = True
         for level in self.levels:
-            known = level.find(batch)
+            known, _ = level.find(batch)
             old = known >= 0
             self.repeat[known[old]] = True
             self.repeat[batch.number[old]] = True
             batch.at, batch.number, batch.first = batch.at[~old], batch.number[~old], batch.first[~old]
         while self.levels and len(self.levels[-1].at) <= 2 * len(batch.at):
-            batch = self.levels.pop().merged(batch)
+            level = self.levels.pop()
+            batch = level.merged(batch, level.find(batch)[1])
         self.levels.append(batch)
 
 

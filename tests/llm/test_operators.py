@@ -327,7 +327,12 @@ def test_suffix_array_is_sorted(length):
     b.sort(np.arange(161 - length), np.arange(161 - length))
     there = bytes(b.text)
     want = {x: {of(i): i for i in a.number}.get(x, -1) for x in (there[i : i + length] for i in b.at)}
-    assert a.find(b).tolist() == [want[there[i : i + length]] for i in b.at]
+    found, place = a.find(b)
+    assert found.tolist() == [want[there[i : i + length]] for i in b.at]
+    b.at, b.number, b.first = b.at[found < 0], b.number[found < 0], b.first[found < 0]
+    both = a.merged(b, place[found < 0])
+    text = bytes(both.text)
+    assert [text[i : i + length] for i in both.at] == sorted(text[i : i + length] for i in both.at) and len(both.at) == len(a.at) + len(b.at)
 
 
 def test_index_family_keeps_few_levels():
