@@ -118,13 +118,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def join_spread(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], n: str = "n", share: int = 2000, least: int = 100, ways: int = 64) -> DataFrame:
-    """The inner join of ``left`` with ``right`` (unique keys), in which no key meets in one task.
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], n: str = "n", share: int = 2000, least: int = 100, ways: int = 64, how: str = "inner") -> DataFrame:
+    """The join of ``left`` with ``right`` (unique keys), in which no key meets in one task.
 
     ``right`` bears in ``n`` how many rows of ``left`` have its key.  Keys of
     more than 1/``share`` of those rows and more than ``least``, ``share`` keys
-    at most, are broadcast to mark their rows; these are dealt ``ways`` ways by a hash of the columns
-    ``by``, and ``right`` repeats such keys as often.
+    at most, are broadcast to mark their rows; these are dealt ``ways`` ways by
+    a hash of the columns ``by``, and ``right`` repeats such keys as often.
     """
     most = max(least, (right.agg(F.sum(n)).first()[0] or 0) / share)
     hot = right.filter(F.col(n) > most).select(*keys, F.lit(True).alias("_hot"))
@@ -132,4 +132,4 @@ def join_spread(left: DataFrame, right: DataFrame, keys: list[str], by: list[str
     a = left.join(F.broadcast(hot), keys, "left").select(*left.columns, way)
     every = F.when(F.col(n) > most, F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     b = right.select("*", F.explode(every).alias("_way"))
-    return a.join(b, [*keys, "_way"]).drop("_way")
+    return a.join(b, [*keys, "_way"], how).drop("_way")

@@ -4,19 +4,22 @@ A page is a sequence of tokens: tags with their place in the tree, and pieces
 of text with theirs.  Tokens of a host that occur equally often in each of its
 pages have the same occurrence vector and form an equivalence class (Arasu and
 Garcia-Molina 2003).  A class is valid if it spans at least half of the host's
-pages, and three at least, if its tokens come in one order on all of them, and
-if it crosses no larger class: a class lies in one gap of another or outside
-it.  The valid classes make up the host's template.  What a page has beside
-its template are the slots; their text is extracted, except in parts that are
-not the article.
-
-Scale: a host may have a third of all pages, so vectors are never gathered.
-A vector is represented by the sum of count * hash(page) over the pages, which
-is equal for equal vectors, adds up in map-side combines, and makes a class one
-number.  Order and nesting are checked in a second pass over the pages, which
-adds up one row a class and page.  Templates hold only tokens that half of a host's pages share, so they
-are smaller than its pages; they are sent to all tasks if they hold at most
-``max_broadcast`` tokens, and joined by host otherwise.
+pages, and three at least, if its tokens come in one order on all of them, if
+it crosses no larger class, and if it lies in the same gap of the same class
+wherever it occurs.  So the valid classes nest: they make up the host's
+template, a tree whose nodes are classes and whose edges are the gaps between
+their tokens.  What a page has beside its template fills the slots; their text
+is extracted, except in parts that are not the article.
+
+Scale: each page is parsed once, and its tokens and the blocks that may be
+article are written to the shared folder.  A host may have a third of all
+pages, so vectors are never gathered: a vector is represented by the sum of
+hash(page) over the occurrences, which is equal for equal vectors, adds up in
+map-side combines, and makes a class one number.  Order and nesting are checked
+over the stored tokens, one row a class and batch of pages.  Templates hold
+only tokens that half of a host's pages share, so they are smaller than its
+pages; they are sent to all tasks if they hold at most ``max_broadcast`` tokens
+in all, and joined by host, frequent hosts spread, otherwise.
 
 Which slots are the article: those inside an article or main element, if the
 page has text there; else all slots that are not menus, headers, footers,
@@ -25,9 +28,11 @@ and not blocks of links only.  An article that is template throughout is a
 copy of one article on one host, not a template, and is kept whole.
 
 Defined results: a null or empty html, or one without article text, gives the
-empty text; markup that never ends is dropped; unclosed elements end with
-their parent; a null url, or one without ``://``, belongs to the host of empty
-name; repeated rows count as pages of their own; other columns pass through.
+empty text; very long pages are parsed whole; markup that never ends is
+dropped; unclosed elements end with their parent; a null url, or one without
+``://``, belongs to the host of empty name; repeated rows count as pages of
+their own; other columns pass through, but for the html, unless it is asked
+for, and a column that bears a result's name is replaced by the result.
 """
 
 from __future__ import annotations
@@ -39,16 +44,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kinweave.llm.common import cut, table
+from kinweave.llm.common import join_spread, stored, table
 from kinweave.llm.urlfilter import url_host
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _NAMES = re.compile(r"[a-z0-9]+")
+_TELLS = re.compile("class|id|role|style|itemprop|aria", re.I)  # attributes that say what an element is; hidden has "id", too
 #: Element names of the HTML standard, by how they are treated.
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -74,7 +82,7 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 def _kind(name: str, attributes: str) -> tuple[bool, bool, str]:
     """(not the article, the article, label) of an opening tag."""
     out, inside, label = name in OUT_TAGS, name in ("article", "main"), name
-    if attributes.strip():
+    if attributes and _TELLS.search(attributes):
         found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
         names = set(_NAMES.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
         role = found.get("role", "").lower()
@@ -187,117 +195,202 @@ def tokens_of(page: str) -> list[int]:
 
 def main_text(page: str | None, template: frozenset | set = frozenset()) -> str:
     """The article's blocks, joined by newlines."""
-    found, _ = blocks_of(page or "")
-    slots = [b for b in found if not b[2] and (not template or _hash(b[0], b[1]) not in template)]
-    article = [b[1] for b in slots if b[3]] or [b[1] for b in found if b[3] and not b[2]]
-    if article:
-        return "\n".join(article)
-    return "\n".join(t for _, t, _, _, links in slots if not links)
+    return _article([(_hash(b[0], b[1]), b[1], b[3], b[4]) for b in blocks_of(page or "")[0] if not b[2]], template)
 
 
-def _checked(tokens: list[int], of: dict[int, int], size: dict[int, int]) -> Iterator[tuple[int, int, bool]]:
-    """(class, hash of its order, whether it is in order and crosses no larger class) of the classes of a page."""
+def _article(blocks, template) -> str:
+    """Of (token, text, in article, links only) the article's texts that fill slots of the template."""
+    slots = [b for b in blocks if b[0] not in template]
+    article = [b[1] for b in slots if b[2]] or [b[1] for b in blocks if b[2]]
+    return "\n".join(article or [b[1] for b in slots if not b[3]])
+
+
+def _orders(tokens: list[int], of: dict[int, int], size: dict[int, int]) -> Iterator[tuple[int, int, int, bool]]:
+    """Of each class of a page: (class, hash of its order, 0, whether it repeats in that order)."""
     own: dict[int, list[int]] = {}
     for t in tokens:
         if t in of:
             own.setdefault(of[t], []).append(t)
-    bad = {c for c, x in own.items() if len(x) % size[c] or len(set(x[: size[c]])) < size[c] or x != x[: size[c]] * (len(x) // size[c])}
-    seen = dict.fromkeys(own, 0)
+    for c, x in own.items():
+        first = x[: size[c]]
+        good = len(set(first)) == size[c] and x == first * (len(x) // size[c])
+        yield c, xxhash.xxh64_intdigest(np.array(first, np.int64).tobytes()) - 2**63, 0, good
+
+
+def _nesting(tokens: list[int], of: dict[int, int], size: dict[int, int]) -> Iterator[tuple[int, int, int, bool]]:
+    """Of each class of a page, all in order: (class, class and gap around it, whether it crosses no larger class and has one gap)."""
+    bad: set[int] = set()
+    seen: dict[int, int] = {}
+    around: dict[int, tuple[int, int]] = {}
     stack: list[int] = []  # classes that have begun and not ended
     for t in tokens:
         c = of.get(t)
         if c is None or c in bad:
             continue
-        if seen[c] == 0:
+        if not seen.get(c):
+            up = (stack[-1], seen[stack[-1]]) if stack else (0, 0)
+            if around.setdefault(c, up) != up:
+                bad.add(c)
+                continue
             stack.append(c)
         while stack[-1] != c and c not in bad:
             bad.add(stack.pop() if size[stack[-1]] <= size[c] else c)
         if c in bad:
             stack.remove(c)
             continue
-        seen[c] = (seen[c] + 1) % size[c]
+        seen[c] = (seen.get(c, 0) + 1) % size[c]
         if seen[c] == 0:
             stack.pop()
-    for c, x in own.items():
-        yield c, xxhash.xxh64_intdigest(np.array(x[: size[c]], np.int64).tobytes()) - 2**63, c not in bad
+    for c, up in around.items():
+        yield c, *up, c not in bad
 
 
-def _with_template(rows: DataFrame, model: DataFrame, max_broadcast: int) -> DataFrame:
-    n = model.agg(F.sum("n_tokens")).first()[0] or 0
-    model = model.drop("n_tokens")
-    return rows.join(F.broadcast(model) if n <= max_broadcast else model, "h", "left")
+def parsed_pages(pages: DataFrame, url: str = "url", html: str = "html", keep: list[str] = ()) -> DataFrame:
+    """(h, row, mark, tokens, place, text, inside, links), stored: each page's host, kept columns, hash, tokens, and the
+    blocks that may be article, ``place`` being the token of each."""
+    rows = pages.select(F.xxhash64(url_host(F.col(url))).alias("h"), F.struct(*([F.col(f"`{c}`") for c in keep] or [F.lit(0).alias("_")])).alias("row"), F.col(html).alias("html"))
+    more = "mark long, tokens array<long>, place array<int>, text array<string>, inside array<boolean>, links array<boolean>"
+    schema = T.StructType([*rows.drop("html").schema, *T.StructType.fromDDL(more)])
 
-
-def templates(pages: DataFrame, url: str = "url", html: str = "html", min_share: float = 0.5, min_pages: int = 3, max_broadcast: int = 500_000) -> DataFrame:
-    """(h, tokens, n_tokens): the tokens of the valid equivalence classes of each host; h is the host's hash."""
-    rows = pages.select(F.xxhash64(url_host(F.col(url))).alias("h"), F.col(html).alias("html"))
-
-    def emit(batches):
+    def parse(batches):
         for batch in batches:
-            host, token, count, mark = [], [], [], []
-            for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = Counter(tokens_of(page or ""))
-                own[0] = 1  # stands for the page itself
-                r = xxhash.xxh64_intdigest(page or "") >> 33
-                for k, c in own.items():
-                    host.append(h)
-                    token.append(k)
-                    count.append(c)
-                    mark.append(c * r)
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.int64()), pa.array(token, pa.int64()), pa.array(count, pa.int64()), pa.array(mark, pa.int64())], names=["h", "token", "n", "mark"])
-
-    token = rows.mapInArrow(emit, "h long, token long, n long, mark long")
+            for i in range(0, batch.num_rows, 512):
+                own = batch.slice(i, 512)
+                out: tuple[list, ...] = ([], [], [], [], [], [])
+                known: dict[str, int] = {}
+                for page in own.column(2).to_pylist():
+                    found, tokens = blocks_of(page or "")
+                    texts = [k for k, t in enumerate(tokens) if t[1]]
+                    kept = [(k, b) for k, b in zip(texts, found, strict=True) if not b[2]]
+                    hashed = [_hash(*t) if t[1] else known.get(t[0]) or known.setdefault(t[0], _hash(*t)) for t in tokens]
+                    for x, y in zip(out, (xxhash.xxh64_intdigest(page or "") >> 33, hashed, [k for k, _ in kept], *([b[j] for _, b in kept] for j in (1, 3, 4))), strict=True):
+                        x.append(y)
+                types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.bool_()))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=schema.names)
+
+    return stored(rows.mapInArrow(parse, schema))
+
+
+def _vectors(batches):
+    """(h, token, n_pages, vector): the sums of a batch over its pages; token 0 stands for the page itself."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = batch.column(2)
+        page = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+        page = np.concatenate([page, np.arange(batch.num_rows)])
+        token = np.concatenate([lists.flatten().to_numpy(zero_copy_only=False), np.zeros(batch.num_rows, np.int64)])
+        host = batch.column(0).to_numpy(zero_copy_only=False)[page]
+        order = np.lexsort((page, token, host))
+        page, token, host = page[order], token[order], host[order]
+        new = np.ones(len(page), bool)
+        new[1:] = (token[1:] != token[:-1]) | (host[1:] != host[:-1])
+        at = np.flatnonzero(new)
+        other = new.copy()
+        other[1:] |= page[1:] != page[:-1]
+        mark = batch.column(1).to_numpy(zero_copy_only=False)[page]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (host[at], token[at], np.add.reduceat(other.astype(np.int64), at), np.add.reduceat(mark, at))], names=["h", "token", "n_pages", "vector"])
+
+
+class _Model:
+    """Templates by host: a dictionary for all tasks if they are small, a table otherwise."""
+
+    def __init__(self, rows: DataFrame, max_broadcast: int):
+        """``rows``: (h, n, tokens, classes), n the pages of the host."""
+        self.rows, self.shared = rows, None
+        if (rows.agg(F.sum(F.size("tokens"))).first()[0] or 0) <= max_broadcast:
+            found = {r.h: (r.tokens, r.classes) for r in rows.collect()}
+            self.shared = rows.sparkSession.sparkContext.broadcast(found)
+
+    def beside(self, pages: DataFrame) -> DataFrame:
+        """The pages, with the columns tokens and classes of their templates if these are not sent to the tasks."""
+        if self.shared is not None:
+            return pages
+        model = self.rows.select("h", "n", F.col("tokens").alias("t_tokens"), F.col("classes").alias("t_classes"))
+        return join_spread(pages, model, ["h"], ["mark"], how="left").drop("n")
+
+    def each(self):
+        """A function of a batch: of each row the template's (tokens, classes), or nothing."""
+        shared = self.shared
+
+        def get(batch):
+            if shared is not None:
+                return [shared.value.get(h) for h in batch.column("h").to_pylist()]
+            return [t and (t, c) for t, c in zip(batch.column("t_tokens").to_pylist(), batch.column("t_classes").to_pylist(), strict=True)]
+
+        return get
+
+
+def templates(parsed: DataFrame, min_share: float = 0.5, min_pages: int = 3, max_broadcast: int = 500_000) -> DataFrame:
+    """(h, n, tokens, classes, parents, gaps): the template of each host, n its pages; a class of parent 0 is at the top."""
+    token = parsed.select("h", "mark", "tokens").mapInArrow(_vectors, "h long, token long, n_pages long, vector long")
     # one row a token and host: pages that have it, and its occurrence vector as one number
-    token = token.groupBy("h", "token").agg(F.count("*").alias("n_pages"), F.sum(F.col("mark").cast("decimal(38,0)")).alias("vector"))
+    token = token.groupBy("h", "token").agg(F.sum("n_pages").alias("n_pages"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"))
     token = token.filter(F.col("n_pages") >= min_pages)
-    size = token.filter("token = 0").select("h", F.col("n_pages").alias("of"))
-    often = token.filter("token <> 0").join(size, "h").filter(F.col("n_pages") >= min_share * F.col("of"))
-    often = often.select("h", "token", F.xxhash64("vector", "n_pages").alias("class"))
-    found = cut(often.groupBy("h").agg(F.collect_list("token").alias("tokens"), F.collect_list("class").alias("classes"), F.count("*").alias("n_tokens")))
+    size = token.filter("token = 0").select("h", F.col("n_pages").alias("n"))
+    often = token.filter("token <> 0").join(size, "h").filter(F.col("n_pages") >= min_share * F.col("n"))
+    often = often.select("h", "n", "token", F.xxhash64("vector", "n_pages").alias("class"))
+    found = often.groupBy("h", "n").agg(F.collect_list("token").alias("tokens"), F.collect_list("class").alias("classes"))
+    for test in (_orders, _nesting):
+        found = _valid(parsed, stored(found), test, max_broadcast)
+    return found
+
+
+def _valid(parsed: DataFrame, found: DataFrame, test, max_broadcast: int) -> DataFrame:
+    """The classes that pass a test on each page of their host, and with the same result, which is (parents, gaps)."""
+    model = _Model(found, max_broadcast)
+    get = model.each()
 
     def check(batches):
         for batch in batches:
-            host, name, form, good = [], [], [], []
+            seen: dict = {}
             of: dict = {}
-            for h, page, tokens, classes in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if tokens is None:
+            for h, tokens, template in zip(batch.column("h").to_pylist(), batch.column("tokens").to_pylist(), get(batch), strict=True):
+                if not template:
                     continue
                 if h not in of:
-                    of[h] = dict(zip(tokens, classes, strict=True)), Counter(classes)
-                for c, f, g in _checked(tokens_of(page or ""), *of[h]):
-                    host.append(h)
-                    name.append(c)
-                    form.append(f)
-                    good.append(g)
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.int64()), pa.array(name, pa.int64()), pa.array(form, pa.int64()), pa.array(good, pa.bool_())], names=["h", "class", "form", "good"])
-
-    seen = _with_template(rows, found, max_broadcast).select("h", "html", "tokens", "classes").mapInArrow(check, "h long, class long, form long, good boolean")
-    valid = seen.groupBy("h", "class").agg(F.min("form").alias("a"), F.max("form").alias("b"), F.min("good").alias("good")).filter("a = b and good").select("h", "class")
-    each = found.select("h", F.explode(F.arrays_zip("tokens", "classes")).alias("x")).select("h", F.col("x.tokens").alias("token"), F.col("x.classes").alias("class"))
-    return each.join(valid, ["h", "class"]).groupBy("h").agg(F.collect_list("token").alias("tokens"), F.count("*").alias("n_tokens"))
-
-
-def extract(pages: DataFrame, url: str = "url", html: str = "html", max_broadcast: int = 500_000, **options) -> DataFrame:
-    """``pages`` with ``text`` and ``n_chars`` added (or replaced)."""
+                    of[h] = dict(zip(*template, strict=True)), Counter(template[1])
+                for c, a, b, good in test(tokens, *of[h]):
+                    old = seen.setdefault((h, c), (a, b, good))
+                    if old != (a, b, good):
+                        seen[h, c] = (a, b, False)
+            cols = zip(*((h, c, *x) for (h, c), x in seen.items()), strict=True) if seen else [[]] * 5
+            kinds = [pa.int64()] * 4 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=["h", "class", "a", "b", "good"])
+
+    seen = model.beside(parsed.select("h", "mark", "tokens")).mapInArrow(check, "h long, class long, a long, b long, good boolean")
+    both = F.struct("a", "b")
+    valid = seen.groupBy("h", "class").agg(F.min(both).alias("low"), F.max(both).alias("high"), F.min("good").alias("good")).filter("low = high and good")
+    each = found.select("h", "n", F.explode(F.arrays_zip("tokens", "classes")).alias("x")).select("h", "n", F.col("x.tokens").alias("token"), F.col("x.classes").alias("class"))
+    each = each.join(valid.select("h", "class", "low.a", "low.b"), ["h", "class"])
+    lists = [F.collect_list(c).alias(name) for c, name in (("token", "tokens"), ("class", "classes"), ("a", "parents"), ("b", "gaps"))]
+    return each.groupBy("h", "n").agg(*lists)
+
+
+def extract(pages: DataFrame, url: str = "url", html: str = "html", keep_html: bool = False, max_broadcast: int = 500_000, **options) -> DataFrame:
+    """``pages`` with ``text`` and ``n_chars`` added (or replaced), without the html unless ``keep_html``."""
     added = ("text", "n_chars")
-    old = [c for c in pages.columns if c.lower() not in added]
-    model = cut(templates(pages, url, html, max_broadcast=max_broadcast, **options))
-    rest = [c for c in old if c != html]
-    rows = pages.select(F.xxhash64(url_host(F.col(url))).alias("h"), F.col(html).alias("html"), F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest)).alias("row"))
-    rows = _with_template(rows, model, max_broadcast).select("row", "html", "tokens")
-    schema = rows.select("row", "html", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
-    for f in schema:
-        f.nullable = True
+    old = [c for c in pages.columns if c.lower() not in added and (keep_html or c != html)]
+    parsed = parsed_pages(pages, url, html, old)
+    model = _Model(stored(templates(parsed, max_broadcast=max_broadcast, **options)), max_broadcast)
+    get = model.each()
+    rows = model.beside(parsed.select("h", "row", "mark", F.transform("place", lambda i: F.get("tokens", i)).alias("tokens"), "text", "inside", "links"))
+    schema = T.StructType([parsed.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 own = batch.slice(i, 512)
-                text = [main_text(p, set(t or ())) for p, t in zip(own.column(1).to_pylist(), own.column(2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(text, pa.string()), pa.array(np.array([len(t) for t in text], np.int64))], names=schema.names)
+                sets: dict = {}
+                text = []
+                for h, template, blocks in zip(own.column("h").to_pylist(), get(own), zip(*(own.column(c).to_pylist() for c in ("tokens", "text", "inside", "links")), strict=True), strict=True):
+                    if h not in sets:
+                        sets[h] = frozenset(template[0]) if template else frozenset()
+                    text.append(_article(list(zip(*blocks, strict=True)), sets[h]))
+                yield pa.RecordBatch.from_arrays([own.column("row"), pa.array(text, pa.string()), pa.array(np.array([len(t) for t in text], np.int64))], names=schema.names)
 
     out = rows.mapInArrow(run, schema)
-    return out.select(*((F.col("html") if c == html else F.col("row").getField(c)).alias(c) for c in old), *added)
+    return out.select(*(F.col("row").getField(c).alias(c) for c in old), *added)
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,6 @@ LENGTH, GRAM = 400, 32
 SHARE = 2000  # an anchor of more than 1/SHARE of all different segments is dealt window by window
 _LIMIT = 1 << 20
 _FAMILY = 4 << 20
-_RANGE = 1 << 18
 _LOW28 = np.uint64((1 << 28) - 1)
 
 
@@ -353,7 +352,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, share: int = SHARE, le
     heavy = g.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most).select("anchor", F.lit(True).alias("heavy"))
     g = g.join(F.broadcast(heavy), "anchor", "left")  # at most ``share`` anchors
     n_heavy = g.filter("heavy").agg(F.sum(F.col("rep.at").bitwiseAND(F.lit(0xFFFFFFFF)) - F.shiftright("rep.at", 32) + 1)).first()[0] or 0
-    bits = max(0, (n_heavy // _RANGE).bit_length())
+    # ranges of some 2**14 windows, while they are few, and of 2**20 at most
+    bits = max(min((n_heavy >> 14).bit_length(), 12), (n_heavy >> 20).bit_length())
     wanted = g.select("rep.k", "rep.th", F.struct("anchor", "seg", "n", "rep.at", "heavy").alias("piece")).groupBy("k", "th").agg(F.collect_list("piece").alias("pieces"))
     # all columns go on, so that this shuffle of the texts is the one that the result is joined from
     texts = rows.join(wanted, ["k", "th"]).select("t", "pieces", *(c for c in rows.columns if c != "t"))

@@ -130,14 +130,82 @@ def test_html_template_in_articles(spark):
     assert got[12] == "one\ntwo\nTale 2" and got[13] == "two\none\nTale 3"
 
 
+def brute_template(pages):
+    """(token, class's vector) of the valid classes of one host, from its pages' tokens: vectors as tuples, cycles as intervals."""
+    counts = {t: tuple(p.count(t) for p in pages) for p in pages for t in p}
+    classes = collections.defaultdict(set)
+    for t, v in counts.items():
+        if sum(x > 0 for x in v) >= max(3, len(pages) / 2):
+            classes[v].add(t)
+    spans: dict = {}
+    for v, own in classes.items():
+        per = [[i for i, t in enumerate(p) if t in own] for p in pages]
+        cycles = [[at[i : i + len(own)] for i in range(0, len(at), len(own))] for at in per]
+        if len({tuple(p[i] for i in c) for p, x in zip(pages, cycles, strict=True) for c in x}) == 1:
+            spans[v] = cycles
+    valid: list = []
+    for v in sorted(spans, key=lambda v: -len(classes[v])):
+        if not any(c[0] < i < c[-1] for w in valid for x, y in zip(spans[v], spans[w], strict=True) for c in x for d in y for i in d):
+            valid.append(v)
+    places = collections.defaultdict(set)
+    for v in valid:
+        for x, k in ((x, k) for k, x in enumerate(spans[v])):
+            for c in x:
+                around = [(d[0], w, sum(i < c[0] for i in d)) for w in valid if w != v for d in spans[w][k] if d[0] < c[0] < d[-1]]
+                places[v].add(max(around)[1:] if around else None)
+    return {(t, v) for v in valid if len(places[v]) == 1 for t in classes[v]}
+
+
+def test_html_template_against_brute_force(spark):
+    """The valid classes of every host of a table, and of hosts with nested and crossing classes, by explicit vectors."""
+    block = lambda i: f"<div class=box><p>Part</p><p>text {i}</p><i>end</i></div>"
+    made = [(i, "http://nest.ed/", "<body><h1>Site</h1>" + block(i) * (1 + i % 3) + f"<p>own {i}</p><h2>Foot</h2></body>") for i in range(7)]
+    made += [(10 + i, "http://cros.sed/", "<body>" + "".join(f"<b>{x}</b><p>{x}</p>" for x in ("ab", "ba")[i % 2]) + f"<u>{i}</u></body>") for i in range(6)]
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").unionByName(spark.createDataFrame(made, "page_id long, url string, html string"))
+    hosts = collections.defaultdict(list)
+    for r in pages.collect():
+        hosts[re.match(r".*?://([^/?#]*)", r.url)[1].lower()].append(htmltext.tokens_of(r.html))
+    want = {h: brute_template(p) for h, p in hosts.items() if len(p) >= 3}
+    got = htmltext.templates(htmltext.parsed_pages(pages)).withColumnRenamed("h", "key")
+    names = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", F.xxhash64("host").alias("key"))
+    got = {r.host: r for r in got.join(names, "key").collect()}
+    assert {h: {t for t, _ in x} for h, x in want.items() if x} == {h: set(r.tokens) for h, r in got.items()}
+    for h, r in got.items():
+        classes = collections.defaultdict(set)
+        for t, c in zip(r.tokens, r.classes, strict=True):
+            classes[c].add(t)
+        vectors = collections.defaultdict(set)
+        for t, v in want[h]:
+            vectors[v].add(t)
+        assert sorted(map(sorted, classes.values())) == sorted(map(sorted, vectors.values()))
+    nested = got["nest.ed"]
+    assert {p for p in nested.parents if p} <= set(nested.classes) and len(set(nested.classes)) == 2
+
+
+def test_html_template_decides(spark):
+    """With fixed text in their articles most pages lose it to the template, and nothing else."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    pages = pages.withColumn("html", F.regexp_replace("html", "<article>", "<article><p>Reading time: five minutes</p>"))
+    got = {r.page_id: r.text for r in htmltext.extract(pages).collect()}
+    plain = {r.page_id: htmltext.main_text(r.html) for r in pages.collect()}
+    hosts = collections.Counter(re.match(r".*?://([^/?#]*)", r.url)[1].lower() for r in pages.collect())
+    often = [r.page_id for r in pages.collect() if hosts[re.match(r".*?://([^/?#]*)", r.url)[1].lower()] >= 3]
+    assert len(often) > len(got) / 2
+    for k, text in plain.items():
+        assert text.startswith("Reading time: five minutes\n")
+        assert got[k] == (text.partition("\n")[2] if k in often else text)
+
+
 def test_html_classes_nest():
     of = {1: 7, 2: 7, 3: 7, 4: 8, 5: 8, 6: 9}
     size = {7: 3, 8: 2, 9: 1}
-    good = lambda tokens: {c for c, _, g in htmltext._checked(tokens, of, size) if g}
+    good = lambda tokens, test=htmltext._nesting: {x[0] for x in test(tokens, of, size) if x[-1]}
     assert good([1, 4, 0, 5, 4, 5, 2, 6, 3]) == {7, 8, 9}  # the smaller class repeats in one gap
     assert good([1, 4, 2, 5, 6, 3]) == {7, 9}  # it crosses a token of the larger
     assert good([4, 1, 5, 2, 3, 6]) == {7, 9}
-    assert good([1, 3, 2, 2, 1, 3, 6]) == {9}  # two orders in one page
+    assert good([1, 4, 5, 2, 4, 5, 3]) == {7}  # it lies in two gaps
+    assert good([1, 3, 2, 2, 1, 3, 6], htmltext._orders) == {9}  # two orders in one page
+    assert list(htmltext._nesting([1, 2, 4, 5, 3], of, size)) == [(7, 0, 0, True), (8, 7, 2, True)]
 
 
 def test_html_awkward(spark):
