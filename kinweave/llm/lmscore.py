@@ -61,7 +61,7 @@ def _bigrams(word: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _packed(key: np.ndarray, good: np.ndarray, bits: int, counted: bool = True):
     """(range, bytes): the distinct keys of each hash range with their counts in all and in good texts, or with 0."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, good = key[order], good[order]
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     all_n = np.diff(np.append(at, len(key))).astype(np.uint32)
@@ -206,18 +206,19 @@ class Models:
         return self.docs.select(F.col(self.text).alias("text"), F.coalesce(F.col(self.good), F.lit(False)).alias("good"))
 
 
-def _losses(word: np.ndarray, text: np.ndarray, key: np.ndarray, count: np.ndarray, total: np.ndarray, unknown: np.ndarray, size: int) -> np.ndarray:
-    """2 x tokens: the loss of each token under the background and the target model; ``count`` of the sorted ``key``."""
-    n = count[:, np.searchsorted(key, word)]
-    n = np.where(n[0] > 0, n, unknown[:, None])
+def _losses(word: np.ndarray, pair: np.ndarray, second: np.ndarray, total: np.ndarray, unknown: np.ndarray, size: int) -> np.ndarray:
+    """2 x tokens: the loss of each token under the background and the target model.
+
+    ``word`` and ``pair`` (2 x tokens, 2 x bigrams) count them in both models; ``second`` is the place of each bigram's second word.
+    """
+    n = np.where(word[0] > 0, word, unknown[:, None])
     p = (n + ALPHA) / (total + ALPHA * size)[:, None]
-    pairs, second = _bigrams(word, text)
-    if len(pairs):
-        seen, before = count[:, np.searchsorted(key, pairs)], n[:, second - 1]
-        pair = np.divide(seen, before, out=np.zeros_like(seen), where=before > 0)
+    if len(second):
+        before = n[:, second - 1]
+        seen = np.divide(pair, before, out=np.zeros_like(pair), where=before > 0)
         # a context without counts leaves all the weight to the word
         share = np.where(before > 0, LAMBDA, 0.0)
-        p[:, second] = share * np.minimum(pair, 1) + (1 - share) * p[:, second]
+        p[:, second] = share * np.minimum(seen, 1) + (1 - share) * p[:, second]
     return -np.log(p)
 
 
@@ -256,14 +257,22 @@ def score(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
         row = left.column("row").combine_chunks()
         row = pa.concat_arrays(row.chunks) if isinstance(row, pa.ChunkedArray) else row
         parts = [(b, *_tokens(b)) for b in tv.blocks(pc.utf8_lower(tv.strings(row.field(at))))]
-        key = np.unique(np.concatenate([np.zeros(0, np.uint64)] + [x for _, word, owner in parts for x in (word, _bigrams(word, owner)[0])]))
+        pairs = [_bigrams(word, owner) for _, word, owner in parts]
+        key = np.concatenate([np.zeros(0, np.uint64)] + [x for (_, word, _), (pair, _) in zip(parts, pairs, strict=True) for x in (word, pair)])
+        order = np.argsort(key)
+        new = np.ones(len(key), bool)
+        new[1:] = np.diff(key[order]) != 0
+        known = np.empty(len(key), np.int64)
+        known[order] = np.cumsum(new) - 1
         count = _counts(right.column("range"), right.column("counts"))
-        if count.shape[1] != len(key):
-            raise RuntimeError(f"{count.shape[1]} counts for {len(key)} n-grams")
-        out = []
-        for block, word, owner in parts:
-            n = tv.count_in(owner, block.n)
-            back, target = (np.bincount(owner, x, block.n) / np.maximum(n, 1) for x in _losses(word, owner, key, count, *model))
+        if count.shape[1] != new.sum():
+            raise RuntimeError(f"{count.shape[1]} counts for {new.sum()} n-grams")
+        out, i = [], 0
+        for (block, word, owner), (pair, second) in zip(parts, pairs, strict=True):
+            j, k = i + len(word), i + len(word) + len(pair)
+            loss = _losses(count[:, known[i:j]], count[:, known[j:k]], second, *model)
+            n, i = tv.count_in(owner, block.n), k
+            back, target = (np.bincount(owner, x, block.n) / np.maximum(n, 1) for x in loss)
             out.append((n, target, back, target - back))
         new = [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)]
         return pa.table([row, new[0].cast(pa.int64()), *new[1:]], names=schema.names)
