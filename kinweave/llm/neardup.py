@@ -10,23 +10,27 @@ the model that goes to every task has the same few MB at any input size.
 Improved consistent weighted sampling (Ioffe 2010) draws 56 samples a text;
 two texts agree on a sample with the probability of their weighted Jaccard
 similarity.  Four samples make a band, 14 bands are joined; a pair at 0.8
-meets in a band with probability 0.9994.  Every candidate is verified by its
-exact weighted Jaccard similarity.
+meets in a band with probability 0.9994.  Pairs that meet and agree in fewer
+than 0.55 of the samples are left out: a pair at 0.8 does so with a
+probability of about 1e-6.  All others are verified by their weighted Jaccard
+similarity, exact but for shingles of one pair whose 32-bit hashes collide.
 
 Links, not pairs: texts with the same words are one node from the start.  In
 each bucket all members are compared with its least and its greatest node,
 which a map-side ``min`` and ``max`` find; verified links form components.
 Then, only in buckets that still hold several components, the nodes outside
-the largest one meet all nodes of other components, block by block: blocks of
-128 texts join on the bucket, a kernel compares them, and only links become
-rows.  So a bucket of copies that a third of all rows share costs one
-comparison a row, no bucket is capped, and links between different texts are
-found wherever they meet.
+the largest one meet all nodes of other components, block by block: each block
+of 128 texts goes to the blocks that it meets, a kernel compares them, and only
+links become rows.  So a bucket of copies that a third of all rows share costs
+one comparison a row, no bucket is capped, and links between different texts
+are found wherever they meet.  Joins on buckets spread the frequent ones.
 
 Defined results: words are runs of letters and digits, lower-cased; a text of
-one to four words has one shingle of them all; a text without words (null,
-empty, punctuation) and a null id are classes of their own; rows that repeat an
-id belong to one class; the class id is the least doc_id of the class.
+one to four words has one shingle of them all; very long texts are taken
+whole; a text without words (null, empty, punctuation) and a null id are
+classes of their own; rows that repeat an id belong to one class, and so do
+the classes that they link; the class id is the least doc_id of the class;
+other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import textvec as tv
-from kinweave.llm.common import add_columns, components, cut, table
+from kinweave.llm.common import add_columns, components, cut, join_spread, table
 
 SIZE, BANDS, ROWS = 5, 14, 4
 SAMPLES = BANDS * ROWS
@@ -136,7 +140,7 @@ class Model:
         """Whole multiples of 1/UNIT, 1 at least."""
         a, b = _cells(shingle)
         idf = np.maximum(self.idf[0][a], self.idf[1][b])
-        return np.clip(np.rint((1 + np.log(tf)) * (1 + idf) / 2 * UNIT), 1, 255).astype(np.uint8)
+        return np.maximum(np.rint((1 + np.log(tf)) * (1 + idf) / 2 * UNIT), 1).astype(np.uint16)
 
 
 def _gamma2(n: int) -> np.ndarray:
@@ -150,19 +154,20 @@ def _gamma2(n: int) -> np.ndarray:
     return (low + high) / 2
 
 
-_tables: list = []
+_tables: dict[int, tuple] = {}
 _FINE = 64  # quantiles of r and levels of beta
 
 
-def _sampler() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Fixed tables: ln c by 16 bits; -r (t - beta + 1) and t by weight and by 12 bits that choose (r, beta)."""
-    if not _tables:
+def _sampler(most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fixed tables for weights up to ``most``: ln c by 16 bits; -r (t - beta + 1) and t by weight and by 12 bits that choose (r, beta)."""
+    rows = 256 if most < 256 else 1 << int(most).bit_length()  # texts in which a shingle stands over 1,000 times need more
+    if rows not in _tables:
         r = np.repeat(_gamma2(_FINE), _FINE)
         beta = np.tile((np.arange(_FINE) + 0.5) / _FINE, _FINE)
-        ln_s = np.log(np.arange(256).clip(1) / UNIT)[:, None]
+        ln_s = np.log(np.arange(rows).clip(1) / UNIT)[:, None]
         t = np.floor(ln_s / r + beta)
-        _tables.extend([np.log(_gamma2(1 << 16)).astype(np.float32), (-r * (t - beta + 1)).astype(np.float32).ravel(), t.astype(np.int32).ravel()])
-    return tuple(_tables)
+        _tables[rows] = np.log(_gamma2(1 << 16)).astype(np.float32), (-r * (t - beta + 1)).astype(np.float32).ravel(), t.astype(np.int32).ravel()
+    return _tables[rows]
 
 
 def sample(shingle: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -171,7 +176,7 @@ def sample(shingle: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int) -
     m = len(shingle)
     if not m:
         return out
-    ln_c_of, part_of, t_of = _sampler()
+    ln_c_of, part_of, t_of = _sampler(weight.max())
     start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     texts, size = owner[start], np.diff(np.append(start, m))
     base = tv.mix(shingle)
@@ -216,14 +221,14 @@ def similarity(a: bytes, b: bytes) -> float:
 
 
 def _unpack(v: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(v) // 5
-    return np.frombuffer(v, np.uint32, n), np.frombuffer(v, np.uint8, n, 4 * n).astype(np.int64)
+    n = len(v) // 6
+    return np.frombuffer(v, np.uint32, n), np.frombuffer(v, np.uint16, n, 4 * n).astype(np.int64)
 
 
 def _pack(shingle: np.ndarray, weight: np.ndarray) -> bytes:
     h = (tv.mix(shingle) >> np.uint64(32)).astype(np.uint32)
     order = np.argsort(h, kind="stable")
-    return h[order].tobytes() + weight[order].tobytes()
+    return h[order].tobytes() + weight[order].astype(np.uint16).tobytes()
 
 
 def _signed(docs: DataFrame, model, doc_id: str, text: str) -> DataFrame:
@@ -277,7 +282,7 @@ def _meeting(threshold: float):
             a, b = [], []
             for band, xs, ys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 kx, ky = (np.array([r["keys"] for r in side], np.int64) for side in (xs, ys))
-                wx, wy = (np.array([np.frombuffer(r["v"], np.uint8)[len(r["v"]) // 5 * 4 :].sum(dtype=np.int64) for r in side], float) for side in (xs, ys))
+                wx, wy = (np.array([_unpack(r["v"])[1].sum() for r in side], float) for side in (xs, ys))
                 # a pair that meets in several bands is compared in the first
                 first = np.argmax(kx[:, None] == ky[None], 2) == band
                 near = np.minimum(wx[:, None], wy[None]) >= threshold * np.maximum(wx[:, None], wy[None])
@@ -304,49 +309,66 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(Model(frequencies(docs, text)))
     signed = cut(_signed(docs, model, doc_id, text))
-    node = cut(signed.groupBy("h", "g").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
+    node = cut(signed.groupBy("h", "g").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.count("*").alias("n")))
+    named = cut(join_spread(signed.select("id", "h", "g"), node.select("h", "g", "n", F.col("id").alias("node")), ["h", "g"], ["id"]).select("id", "node"))
     bands = F.array(*(F.xxhash64(F.lit(k), F.slice("sig", k * ROWS + 1, ROWS)) for k in range(BANDS)))
     member = node.select("id", F.posexplode(bands).alias("band", "key"))
-    bucket = member.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    member = cut(member.join(bucket, ["band", "key"]))
+    bucket = member.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).filter("low < high")
+    member = cut(join_spread(member, cut(bucket), ["band", "key"], ["id"]).drop("n"))
     pairs = member.select(F.col("low").alias("a"), F.col("id").alias("b")).unionByName(member.select(F.col("id").alias("a"), F.col("high").alias("b")))
     pairs = pairs.filter("a < b").distinct()
     sig = node.select("id", "sig")
     pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     pairs = cut(pairs.filter(_agree("sa", "sb", 0.55)).select("a", "b").distinct())
-    links = cut(_verified(pairs, docs, model, doc_id, text, threshold).select("a", "b").distinct())
+    links = _verified(pairs, docs, model, doc_id, text, threshold).select("a", "b").distinct()
+    links = cut(links.unionByName(_same_id(named)))
     root = cut(components(links))
 
     # buckets that still hold several components
     of = member.select("band", "key", "id").join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    many = of.groupBy("band", "key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("band", "key")
-    of = of.join(many, ["band", "key"])
-    largest = of.groupBy("band", "key", "root").agg(F.count("*").alias("n")).groupBy("band", "key").agg(
-        F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    of = cut(of.join(largest, ["band", "key"]))
+    size = of.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
+    size = size.groupBy("band", "key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("kinds"))
+    size = cut(size.filter("kinds > 1").drop("kinds"))
+    of = cut(join_spread(of, size, ["band", "key"], ["id"]))
     if not of.isEmpty():
         v = _vectors(docs, of.select("id").distinct(), model, doc_id, text)
         member = of.join(node.select("id", bands.alias("keys")), "id").join(v, "id").withColumn("big", F.col("root") == F.col("largest"))
         item = F.collect_list(F.struct("id", "root", "big", "keys", "v"))
-        block = lambda n: F.pmod(F.xxhash64("id"), F.ceil(n / F.lit(_MEET))).alias("block")
-        x = member.filter("not big").groupBy("band", "key", block(F.col("n") - F.col("most"))).agg(item.alias("xs"))
-        y = member.groupBy("band", "key", block(F.col("n"))).agg(item.alias("ys"))
-        met = x.select("band", "key", "xs").join(y.select("band", "key", "ys"), ["band", "key"]).select("band", "xs", "ys")
+        blocks = lambda n: F.ceil(n / F.lit(_MEET))
+        block = lambda n: F.pmod(F.xxhash64("id"), blocks(n))
+        x = member.filter("not big").groupBy("band", "key", "n", block(F.col("n") - F.col("most")).alias("x")).agg(item.alias("xs"))
+        y = member.groupBy("band", "key", block(F.col("n")).alias("y")).agg(item.alias("ys"))
+        x = x.select("band", "key", "xs", F.explode(F.sequence(F.lit(0).cast("long"), blocks(F.col("n")) - 1)).alias("y"))
+        met = x.join(y, ["band", "key", "y"]).select("band", "xs", "ys")
         ids = docs.schema[doc_id].dataType.simpleString()
         more = cut(met.mapInArrow(_meeting(threshold), f"a {ids}, b {ids}").distinct())
         if not more.isEmpty():
             root = components(links.unionByName(more))
 
-    named = node.select("h", "g", "id").join(root.withColumnRenamed("node", "id"), "id", "left").select("h", "g", F.coalesce("root", "id").alias("root"))
-    found = signed.select("id", "h", "g").join(named, ["h", "g"]).groupBy("id").agg(F.min("root").alias("root"))
+    found = named.join(root, "node", "left").groupBy("id").agg(F.min(F.coalesce("root", "node")).alias("root"))
     out = docs.select(F.col(doc_id).alias("doc_id")).join(found, F.col("doc_id") == F.col("id"), "left")
     return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
 
 
+def _same_id(named: DataFrame) -> DataFrame:
+    """(a, b): links of each id's least node to its others; ``named``: (id, node)."""
+    several = named.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).filter("a < z")
+    return join_spread(named, several, ["id"], ["node"]).filter("a < node").select("a", F.col("node").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class stays: the one of least id (and every document without an id)."""
-    gone = classes(docs, doc_id, text).filter("class_id <> doc_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti").select(*docs.columns)
+    """One document of each class stays: the one of least id (and every row without an id).
+
+    Of rows with one id and text one stays; an id's other texts stay with it.
+    """
+    gone = classes(docs, doc_id, text).filter("class_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    gone = cut(gone)
+    twice = docs.groupBy(F.col(doc_id).alias("_id")).agg(F.count("*").alias("_n")).filter("_n > 1 and _id is not null").select("_id")
+    same = F.col(doc_id) == F.col("_id")
+    once = docs.join(gone.unionByName(twice), same, "left_anti")
+    rest = docs.join(twice, same, "left_semi").join(gone, same, "left_anti")
+    rest = rest.withColumn("_th", F.xxhash64(text)).dropDuplicates([doc_id, "_th"])
+    return once.select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,13 +75,36 @@ def test_near_dedup_awkward(spark):
     assert kept.columns == odd_documents(spark).columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 5, None, 6, 7, 8}
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    """Rows that repeat an id link the classes of their texts; repeated rows leave one."""
+    a, b, c = prose(1), prose(2), prose(3)
+    rows = [(5, a), (5, b), (1, a), (3, b), (9, b), (7, c), (7, c), (8, edited(c, 4)), (6, prose(4)), (6, prose(5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert set(neardup.classes(docs).collect()) == {(1, 1), (3, 1), (5, 1), (9, 1), (7, 7), (8, 7), (6, 6)}
+    assert sorted((r.doc_id, r.text) for r in neardup.keep_one(docs).collect()) == sorted([(1, a), (7, c), (6, prose(4)), (6, prose(5))])
+
+
+def test_near_dedup_weighs_frequent_shingles(spark):
+    """A shingle that stands thousands of times weighs more than one that stands a thousand times."""
+    loop = "one two three four five " * 4000
+    shingle, owner, tf, _ = next(neardup.shingles(x) for x in neardup.tv.blocks(neardup.pa.array([loop])))
+    counts = np.ones((3, 1 << 18), np.int64)
+    counts[2, -1] = 1000
+    model = neardup.Model(counts)
+    sig = neardup.sample(shingle, owner, model.weights(shingle, tf), 1)
+    assert (sig > 0).all()
+    assert tf.max() > 3000 and model.weights(shingle, tf).max() > 255 > model.weights(shingle, np.minimum(tf, 1000)).max()
+    docs = documents(spark, [loop, loop + "six", prose(3)])
+    assert dict(neardup.classes(docs).collect()) == {0: 0, 1: 0, 2: 2}
+
+
 def test_samples_estimate_the_similarity():
     rnd = np.random.default_rng(3)
     shingle = np.sort(rnd.choice(2**40, 3000, replace=False).astype(np.uint64))
     found = []
     for _ in range(40):
         a, b = rnd.random(3000) < 0.9, rnd.random(3000) < 0.9
-        w = rnd.integers(8, 60, 3000).astype(np.uint8)
+        w = rnd.integers(8, 60, 3000).astype(np.uint16)
         sig = [neardup.sample(shingle[m], np.zeros(m.sum(), np.int64), w[m], 1)[0] for m in (a, b)]
         found.append((sig[0] == sig[1]).mean() - neardup.similarity(neardup._pack(shingle[a], w[a]), neardup._pack(shingle[b], w[b])))
     assert abs(np.mean(found)) < 0.03
