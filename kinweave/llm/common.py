@@ -118,18 +118,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def join_spread(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], n: str = "n", share: int = 2000, least: int = 100, ways: int = 64, how: str = "inner") -> DataFrame:
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], counts: DataFrame | None = None, share: int = 2000, least: int = 100, how: str = "inner") -> DataFrame:
     """The join of ``left`` with ``right`` (unique keys), in which no key meets in one task.
 
-    ``right`` bears in ``n`` how many rows of ``left`` have its key.  Keys of
-    more than 1/``share`` of those rows and more than ``least``, ``share`` keys
-    at most, are broadcast to mark their rows; these are dealt ``ways`` ways by
-    a hash of the columns ``by``, and ``right`` repeats such keys as often.
+    ``counts`` (by default ``right``) bears in ``n`` how many rows of ``left``
+    each key has.  Keys of more than 1/``share`` of those rows and more than
+    ``least``, ``share`` keys at most, are broadcast to mark their rows; these
+    are dealt that many times finer by a hash of the columns ``by``, and
+    ``right`` repeats such keys as often, 2 * ``share`` times in all at most.
     """
-    most = max(least, (right.agg(F.sum(n)).first()[0] or 0) / share)
-    hot = right.filter(F.col(n) > most).select(*keys, F.lit(True).alias("_hot"))
-    way = F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(ways))).otherwise(F.lit(0)).alias("_way")
-    a = left.join(F.broadcast(hot), keys, "left").select(*left.columns, way)
-    every = F.when(F.col(n) > most, F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    b = right.select("*", F.explode(every).alias("_way"))
+    counts = right if counts is None else counts
+    most = max(least, (counts.agg(F.sum("n")).first()[0] or 0) / share)
+    ways = F.ceil(F.col("n") / F.lit(float(most))).cast("long").alias("_ways")
+    hot = F.broadcast(counts.filter(F.col("n") > most).select(*keys, ways))
+    way = F.pmod(F.xxhash64(*by), F.coalesce("_ways", F.lit(1).cast("long"))).alias("_way")
+    a = left.join(hot, keys, "left").select(*left.columns, way)
+    every = F.sequence(F.lit(0).cast("long"), F.coalesce("_ways", F.lit(1).cast("long")) - 1)
+    b = right.join(hot, keys, "left").select(*right.columns, F.explode(every).alias("_way"))
     return a.join(b, [*keys, "_way"], how).drop("_way")

@@ -258,11 +258,18 @@ def _vectors(docs: DataFrame, wanted: DataFrame, model, doc_id: str, text: str)
     return add_columns(rows, kernel, "v binary", "text", lower=True, limit=_LIMIT).select("id", "v")
 
 
+def _beside(pairs: DataFrame, values: DataFrame, side: str, name: str, counted: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b, ...) with the value of one side; ``values`` is (id, value), and a node may have very many pairs."""
+    counts = (pairs if counted is None else counted).groupBy(side).agg(F.count("*").alias("n"))
+    right = values.select(F.col("id").alias(side), F.col(values.columns[1]).alias(name))
+    return join_spread(pairs, right, [side], ["b" if side == "a" else "a"], counts)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, model, doc_id: str, text: str, threshold: float) -> DataFrame:
     """(a, b, similarity) of the pairs at or above the threshold."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     v = _vectors(docs, wanted, model, doc_id, text)
-    both = pairs.join(v.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(v.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
+    both = _beside(_beside(pairs, v, "a", "va"), v, "b", "vb", pairs)
 
     def judge(batches):
         for batch in batches:
@@ -316,9 +323,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     bucket = member.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).filter("low < high")
     member = cut(join_spread(member, cut(bucket), ["band", "key"], ["id"]).drop("n"))
     pairs = member.select(F.col("low").alias("a"), F.col("id").alias("b")).unionByName(member.select(F.col("id").alias("a"), F.col("high").alias("b")))
-    pairs = pairs.filter("a < b").distinct()
+    pairs = cut(pairs.filter("a < b").distinct())
     sig = node.select("id", "sig")
-    pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    pairs = _beside(_beside(pairs, sig, "a", "sa"), sig, "b", "sb", pairs)
     pairs = cut(pairs.filter(_agree("sa", "sb", 0.55)).select("a", "b").distinct())
     links = _verified(pairs, docs, model, doc_id, text, threshold).select("a", "b").distinct()
     links = cut(links.unionByName(_same_id(named)))
