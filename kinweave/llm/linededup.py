@@ -2,19 +2,23 @@ r"""Line dedup across documents, with DataFrame functions only.
 
 Each text is exploded into normalised lines (white space stripped at both
 ends, A-Z lower-cased); lines are hashed; the distinct documents of each hash
-are counted; lines whose hash is in at least ``min_docs`` documents are dropped
-except in the document of least id; the rest is put together by position.
-
-What moves: the first shuffle carries (hash, doc_id) pairs, pre-aggregated
-within each document and each task, so a line that a third of all documents
-share arrives as one row per task.  The second carries only the repeated
-hashes back to their documents, and the last joins the dropped hashes of each
-document with its text.  No group of lines or documents meets in one task.
-
-Defined results: a null or empty text has one empty line; a null id stands
-after every other id and counts as one document; rows that repeat an id are
-parts of one document, and each keeps its own row; keys shorter than
-``min_chars`` code points are never dropped; other columns pass through.
+are counted (for a threshold of two, a least id below the greatest one tells);
+lines whose hash is in at least ``min_docs`` documents are dropped except in
+the document of least id; the rest is put together by position.
+
+What moves: the hashes are made once and stored.  The first shuffle carries
+(hash, doc_id) pairs, pre-aggregated within each document and each task, so a
+line that a third of all documents share arrives as one row per task.  The
+second brings the owners of repeated hashes back to their documents; hashes of
+more than 1/2000 of these rows are dealt finer, so no line meets in one task.
+The last joins the dropped hashes of each document with its text.
+
+Defined results: a null or empty text has one empty line; very long texts and
+lines are taken whole; a null id stands after every other id and counts as one
+document; rows that repeat an id are parts of one document, and each keeps its
+own row; keys shorter than ``min_chars`` code points are never dropped; other
+columns pass through, and one that bears a result's name is replaced by the
+result in ``dedup_lines`` and kept as it is in ``keep_lines``.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import table
+from kinweave.llm.common import cut, join_spread, stored, table
 
 #: The characters of ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -39,41 +43,49 @@ def _lines(text: Column) -> Column:
 
 
 def _keys(docs: DataFrame, min_chars: int, doc_id: str, text: str) -> DataFrame:
-    """(d, h, g): the 128-bit hashes of the distinct line keys of each document that are long enough to be dropped."""
+    """(d, t, h, g): the 128-bit hashes of the distinct line keys of each row that are long enough to be dropped; t is the text's hash."""
     key = F.transform(_lines(F.col(text)), line_key)  # an array of its own, so each key is made once
     key = F.array_distinct(F.filter(key, lambda x: F.char_length(x) >= min_chars))
     hashed = F.transform(key, lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x, F.lit(2)).alias("g")))
-    return docs.select(F.coalesce(F.col(doc_id), F.lit(_LAST)).alias("d"), F.explode(hashed).alias("k")).select("d", "k.h", "k.g")
+    return docs.select(*_row_key(doc_id, text), F.explode(hashed).alias("k")).select("d", "t", "k.h", "k.g")
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(h, g, n_docs, owner): hashes of the line keys in at least ``min_docs`` documents."""
-    each = _keys(docs, min_chars, doc_id, text)
-    if min_docs == 2:  # two distinct ids differ in least and greatest
-        seen = each.groupBy("h", "g").agg(F.min("d").alias("owner"), F.max("d").alias("last"))
-        return seen.filter("owner < last").select("h", "g", "owner")
-    seen = each.groupBy("h", "g").agg(F.count_distinct("d").alias("n_docs"), F.min("d").alias("owner"))
-    return seen.filter(F.col("n_docs") >= min_docs).select("h", "g", "owner")
+def _row_key(doc_id: str, text: str) -> tuple[Column, Column]:
+    return F.coalesce(F.col(doc_id), F.lit(_LAST)).alias("d"), F.xxhash64(F.col(text)).alias("t")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the columns ``n_lines``, ``n_dropped`` and ``kept_text`` added (or replaced)."""
-    mine = _keys(docs, min_chars, doc_id, text)
-    again = repeated_lines(docs, min_chars, min_docs, doc_id, text)
-    drop = mine.join(again, ["h", "g"]).filter("owner <> d").groupBy("d").agg(F.collect_set("h").alias("h"))
-    row = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(doc_id), F.lit(_LAST)).alias("d"))
-    row = row.join(drop, "d", "left")
+def repeated_lines(each: DataFrame, min_docs: int = 2) -> DataFrame:
+    """(h, g, n, owner): hashes of the line keys in at least ``min_docs`` documents, the rows that have them, and the least id."""
+    some = [F.count("*").alias("n"), F.min("d").alias("owner")]
+    if min_docs == 2:  # two distinct ids differ in least and greatest
+        seen = each.groupBy("h", "g").agg(*some, F.max("d").alias("last")).filter("owner < last")
+    else:
+        seen = each.groupBy("h", "g").agg(*some, F.count_distinct("d").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+    return seen.select("h", "g", "n", "owner")
+
+
+def _judged(docs: DataFrame, min_chars: int, min_docs: int, doc_id: str, text: str) -> DataFrame:
+    """(row, lines, kept): each row of ``docs`` as a struct, its lines, and those that stay."""
+    each = stored(_keys(docs, min_chars, doc_id, text))
+    again = cut(repeated_lines(each, min_docs))
+    drop = join_spread(each, again, ["h", "g"], ["d", "t"]).filter("owner <> d").groupBy("d", "t").agg(F.collect_set("h").alias("h"))
+    row = docs.select(F.struct("*").alias("row"), *_row_key(doc_id, text)).join(drop, ["d", "t"], "left")
     row = row.select("row", _lines(F.col("row").getField(text)).alias("lines"), "h")
     keyed = F.transform("lines", lambda x: F.struct(x.alias("line"), line_key(x).alias("key")))
     stays = F.filter(keyed, lambda x: (F.char_length(x["key"]) < min_chars) | ~F.array_contains("h", F.xxhash64(x["key"])))
-    row = row.withColumn("kept", F.when(F.col("h").isNull(), F.col("lines")).otherwise(F.transform(stays, lambda x: x["line"])))
+    kept = F.when(F.col("h").isNull(), F.col("lines")).otherwise(F.transform(stays, lambda x: x["line"]))
+    return row.select("row", "lines", kept.alias("kept"))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the columns ``n_lines``, ``n_dropped`` and ``kept_text`` added (or replaced)."""
     added = {
         "n_lines": F.size("lines").cast("long"),
         "n_dropped": (F.size("lines") - F.size("kept")).cast("long"),
         "kept_text": F.array_join("kept", "\n"),
     }
     old = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in added]
-    return row.select(*old, *(v.alias(k) for k, v in added.items()))
+    return _judged(docs, min_chars, min_docs, doc_id, text).select(*old, *(v.alias(k) for k, v in added.items()))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,9 +113,8 @@ FROM judged GROUP BY doc_id
 """
 
 
-def keep_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the repeated lines gone from the text, and ``n_chars`` counted again."""
-    text = options.get("text", "text")
-    out = dedup_lines(docs, **options)
-    new = {text: F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
-    return out.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+def keep_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the repeated lines gone from the text, and ``n_chars`` counted again; all other columns as they are."""
+    out = _judged(docs, min_chars, min_docs, doc_id, text).select("row", F.array_join("kept", "\n").alias("kept"))
+    new = {text: F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
