@@ -12,15 +12,19 @@ Sizes: words of ``[^\x20\x09-\x0D]+``.  Targets: the sources share
 ``total_share`` of all words by weight, each at most ``max_epochs`` times its
 own size, the excess reshared by weight among the others.
 
-How it scales: the position of a document in its source's stream is the sum of
-whole hash chunks before its own plus a running sum inside its chunk, so no
-window ever spans a source; slots are ranked the same way, by ranges.
-Blocks, slots and documents meet in equi-joins on (source, block).
-
-Defined results: a null text has size 0 and takes nothing; a null source is a
-source of its own, last in order; a source without words has target 0; rows
-that repeat an id are one document each, ordered by their text's hash; an empty
-table gives an empty mix.
+How it scales: texts are read once, for their sizes, which are stored; rows
+equal in id and text are one row with a number of copies from there on.  The
+position of a document in its source's stream is the sum of whole hash chunks
+before its own plus a running sum inside its chunk, so no window ever spans a
+source; slots are ranked the same way, by ranges.  Blocks, slots and documents
+meet in equi-joins on (source, block).
+
+Defined results: a null text has size 0 and takes nothing; very long texts are
+counted whole and cut by blocks like others; a null source is a source of its
+own, last in order; a source without words has target 0; rows that repeat an
+id are one document each, ordered by their text's hash, and equal ones share
+evenly what they take; rows without id are ordered by that hash alone; an empty
+table gives an empty mix; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import table
+from kinweave.llm.common import stored, table
 
 GOLDEN = 0.6180339887498949
 WEIGHTS = (3, 1, 2)
@@ -42,15 +46,17 @@ def word_count(text: Column) -> Column:
 
 
 def sizes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """(doc_id, source, size, place, chunk): place is the hash order inside a source."""
-    place = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("tie"), place.alias("place"))
+    """(doc_id, source, size, tie, place, copies, chunk), one row an id and text: place is the hash order inside a source."""
+    tie = F.xxhash64(F.col(text))
+    place = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("no id "), tie.cast("string"))).cast("binary"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), tie.alias("tie"), place.alias("place"))
+    rows = rows.groupBy("doc_id", "source", "size", "tie", "place").agg(F.count("*").alias("copies"))
     return rows.withColumn("chunk", F.conv(F.substring("place", 1, 3), 16, 10).cast("int"))
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
     """(source, source_size, target), one row a source: the water level of the capped shares."""
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*(F.lit(float(w)) for w in weights))
     per = per.withColumn("i", F.row_number().over(by_name)).withColumn("w", F.element_at(cycle, (F.pmod(F.col("i") - 1, F.lit(len(weights))) + 1).cast("int")))
@@ -111,22 +117,24 @@ def mix(docs: DataFrame, block: int = 4096, weights: tuple[int, ...] = WEIGHTS,
     """(pieces, documents).
 
     pieces: (slot, doc_id, place, tie, first, words): the words
-    first .. first + words - 1 of a document stand in that slot of the mix.
-    documents: (doc_id, source, size, source_size, target, place, tie).
+    first .. first + words - 1 of a document, or of its copies in a row, stand
+    in that slot of the mix.
+    documents: (doc_id, source, size, copies, source_size, target, place, tie).
     """
-    sized = sizes(docs, text, doc_id, source)
+    sized = stored(sizes(docs, text, doc_id, source))
     targets = source_targets(sized, weights, total_share, max_epochs)
     named = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    chunk = named.groupBy("i", "chunk").agg(F.sum("size").alias("words"))
+    named = named.withColumn("all", F.col("size") * F.col("copies"))
+    chunk = named.groupBy("i", "chunk").agg(F.sum("all").alias("words"))
     chunk = chunk.withColumn("before", F.sum("words").over(Window.partitionBy("i").orderBy("chunk")) - F.col("words"))
     inner = Window.partitionBy("i", "chunk").orderBy("place", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = named.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    placed = named.withColumn("inside", F.coalesce(F.sum("all").over(inner), F.lit(0)))
     placed = placed.join(chunk.select("i", "chunk", "before"), ["i", "chunk"]).withColumn("at", F.col("before") + F.col("inside"))
     b = F.lit(block)
-    part = placed.filter("size > 0").select("doc_id", "place", "tie", "i", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b))).alias("block"))
+    part = placed.filter("all > 0").select("doc_id", "place", "tie", "i", "at", "all", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("all") - 1) / b))).alias("block"))
     start = F.greatest(F.col("at"), F.col("block") * b)
     part = part.select("doc_id", "place", "tie", "i", "block", (start - F.col("at")).alias("first"), (start - F.col("block") * b).alias("offset"),
-                       (F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * b) - start).alias("words"))
+                       (F.least(F.col("at") + F.col("all"), (F.col("block") + 1) * b) - start).alias("words"))
     slots = schedule(targets, block).join(targets.select("i", "target", "source_size"), "i")
     per_pass = F.ceil(F.col("source_size") / b)
     turn = F.floor(F.col("rank") / per_pass)
@@ -135,18 +143,20 @@ def mix(docs: DataFrame, block: int = 4096, weights: tuple[int, ...] = WEIGHTS,
     slots = slots.select("slot", "i", "block", F.least(left, b).alias("take"))
     joined = part.join(slots, ["i", "block"])
     pieces = joined.withColumn("words", F.least(F.col("words"), F.col("take") - F.col("offset"))).filter("words > 0")
-    return pieces.select("slot", "doc_id", "place", "tie", "first", "words"), placed.select("doc_id", "source", "size", "source_size", "target", "place", "tie")
+    return pieces.select("slot", "doc_id", "place", "tie", "first", "words"), placed.select("doc_id", "source", "size", "copies", "source_size", "target", "place", "tie")
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken), one row for each row of ``docs``."""
     pieces, placed = mix(docs, **options)
-    taken = pieces.groupBy("place", "tie", F.col("doc_id").alias("id")).agg(F.sum("words").alias("taken"))
-    twins = Window.partitionBy("place", "tie")
-    placed = placed.withColumn("twins", F.count("*").over(twins)).withColumn("twin", F.row_number().over(twins.orderBy("size")))
-    out = placed.join(taken.drop("id"), ["place", "tie"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
-    # rows equal in id and text share what they take
-    share = F.floor(F.col("taken") / F.col("twins")) + F.when(F.col("twin") <= F.col("taken") % F.col("twins"), 1).otherwise(0)
+    taken = pieces.groupBy("place", "tie").agg(F.sum("words").alias("taken"))
+    out = placed.join(taken, ["place", "tie"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    # one row a copy again, in two steps so that no long list is made
+    many = F.lit(10_000).cast("long")
+    zero = F.lit(0).cast("long")
+    out = out.withColumn("_a", F.explode(F.sequence(zero, F.floor((F.col("copies") - 1) / many)))).withColumn("_a", F.col("_a") * many)
+    out = out.withColumn("_b", F.explode(F.sequence(zero, F.least(many, F.col("copies") - F.col("_a")) - 1)))
+    share = F.floor(F.col("taken") / F.col("copies")) + F.when(F.col("_a") + F.col("_b") < F.col("taken") % F.col("copies"), 1).otherwise(0)
     return out.select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), share.cast("long").alias("taken"))
 
 

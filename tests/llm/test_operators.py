@@ -309,6 +309,13 @@ def test_lines_awkward(spark):
     assert out.count() == 11 and out.columns.count("kept_text") == 1
     assert linededup.dedup_lines(no_documents(spark)).count() == 0
     assert linededup.keep_lines(odd_documents(spark)).columns == odd_documents(spark).columns
+    own = odd_documents(spark).withColumn("n_lines", F.lit(77)).withColumn("n_dropped", F.lit("mine"))
+    kept = linededup.keep_lines(own)
+    assert kept.columns == own.columns and {(r.n_lines, r.n_dropped) for r in kept.collect()} == {(77, "mine")}
+    line = "a line without an id\n"
+    none = spark.createDataFrame([(None, line + str(i)) for i in range(4)] + [(3, line), (2, line + line)], "doc_id long, text string")
+    got = sorted((r.doc_id or 9, r.kept_text) for r in linededup.dedup_lines(none).collect())
+    assert got == [(2, line + line), (3, ""), (9, "0"), (9, "1"), (9, "2"), (9, "3")]
 
 
 # --- 5
@@ -371,6 +378,18 @@ def test_mix_awkward(spark):
     assert mixing.taken_words(documents(spark, [None, ""])).filter("taken > 0").count() == 0
 
 
+def test_mix_of_repeated_rows(spark):
+    """Rows equal in id and text are read one after the other and share evenly; rows without id are told by their text."""
+    rows = [(1, "a b c", "s")] * 7 + [(None, f"w{i} x", "t") for i in range(5)] + [(2, "p q r s t", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("target", F.lit("mine"))
+    got = mixing.taken_words(docs).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
+    one = [r.taken for r in got if r.doc_id == 1]
+    assert len(one) == 7 and max(one) - min(one) <= 1
+    for source in "st":
+        assert sum(r.taken for r in got if r.source == source) == int(next(r.target for r in got if r.source == source) + 0.5)
+
+
 # --- 7
 
 def test_substrings_against_brute_force(spark):
