@@ -16,15 +16,18 @@ share of ``min_share`` is kept; a sample with fewer toxic documents than
 ``min_support`` teaches no word beside the seeds.  Weights are smoothed log odds.
 
 Defined results: a null or empty text has no matches and gets the score of its
-empty features; without labels of both kinds the seeds weigh alike and the
+empty features; very long texts are scanned whole, in one pass; without labels of both kinds the seeds weigh alike and the
 model is fixed; equal texts have equal scores; repeated rows are scored alike;
-neither ids nor other columns enter a score.
+neither ids nor other columns enter a score; other columns pass through, and
+one that bears a result's name is replaced by the result.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -115,9 +118,12 @@ class Lexicon:
             start, end = last - size + 1, last + 1
             if (start == 0 or not text[start - 1].isalnum()) and (end == n or not text[end].isalnum()):
                 (spared if w is None else hits).append((start, end, w))
-        if spared:
-            hits = [h for h in hits if not any(s <= h[0] and h[1] <= e for s, e, _ in spared)]
-        return hits
+        if not spared:
+            return hits
+        # phrases in order of their starts, with the furthest end so far
+        spared.sort()
+        starts, ends = [s for s, *_ in spared], list(accumulate((e for _, e, _ in spared), max))
+        return [h for h in hits if not (i := bisect_right(starts, h[0])) or ends[i - 1] < h[1]]
 
     def features(self, texts, n_words: np.ndarray) -> np.ndarray:
         mass = np.array([sum(w for *_, w in self.matches(fold(t))) for t in texts], float)
@@ -194,8 +200,10 @@ def train(docs: DataFrame, labels: DataFrame, max_sample: int = 40_000, min_supp
             x = lexicon.features(tv.strings(batch.column(0)).to_pylist(), words_per_text(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 1]), pa.array(x[:, 2]), batch.column(1)], names=["a", "b", "toxic"])
 
-    rows = sample.mapInArrow(features, "a double, b double, toxic int").orderBy("a", "b", "toxic").toArrow()  # max_sample rows at most
+    rows = sample.mapInArrow(features, "a double, b double, toxic int").toArrow()  # max_sample rows at most
     a, b, y = (rows.column(i).to_numpy().astype(float) for i in range(3))
+    order = np.lexsort((y, b, a))  # sums in one order: reruns agree to the last digit
+    a, b, y = a[order], b[order], y[order]
     lexicon.coefficients = fit_logistic(np.stack([np.ones(len(a)), a, b], 1), y)
     return lexicon
 
