@@ -8,7 +8,7 @@ windows, are rejected by the base rules before that.
 Defined results: a null or empty text has no words, fails the base rules and
 is not kept; lines without a word are never counted as lost; equal lines are
 ties broken by position (the first stays); repeated rows are judged alike,
-row by row; other columns pass through unchanged, and a column that bears a
+row by row; very long texts are judged whole; other columns pass through unchanged, and a column that bears a
 result's name is replaced by the result.
 """
 
@@ -24,12 +24,15 @@ from pyspark.sql import functions as F
 from kinweave.llm import textvec as tv
 from kinweave.llm.common import add_columns, table
 
-#: Phrases that mark a short line as site boilerplate (lower case).
+#: Phrases that mark a short line as site boilerplate, in four languages (lower case).
 BOILERPLATE = (
     "accept all cookies", "add to cart", "all rights reserved", "click here", "cookie policy",
     "enable javascript", "forgot your password", "javascript is disabled", "log in to",
     "lorem ipsum", "newsletter", "powered by", "privacy policy", "read more", "share this",
     "sign in", "sign up", "skip to content", "terms of service", "terms of use",
+    "accepter les cookies", "conditions d'utilisation", "en savoir plus", "mentions légales", "politique de confidentialité", "tous droits réservés",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "jetzt anmelden", "mehr erfahren", "nutzungsbedingungen",
+    "aceptar cookies", "aviso legal", "iniciar sesión", "leer más", "política de privacidad", "todos los derechos reservados",
 )
 #: Marks that may end a sentence.
 TERMINAL = (".", "!", "?", "…", ";", ":", '"', "'", ")", "]", "”", "’", "»", "。", "！", "？")
