@@ -11,12 +11,15 @@ A rule interval that spans several ranges is dealt to each of them, so ranges
 sweep independently.  The range bounds are a physical choice only: they come
 from a sample of the keys, each key ends in a hash of its row so that one URL
 that a third of all rows share is still cut into several ranges, and results
-do not depend on them.  The driver holds the bounds (one short key a range)
-and never the URLs or rules.
+do not depend on them.  The driver holds a sample of about 200 keys a range, cut
+to 512 characters each, and of them one bound a range; a key finds its range in
+two steps of some 90 comparisons for 2,000 ranges.
 
 Defined results: a null url, or one without ``://``, has an empty host and
 path and fits no rule; no rule means ``default``; equal rules (same host and
-path) are a tie that ``block`` wins; repeated rows are judged alike.
+path) are a tie that ``block`` wins, and rules without host or path are none;
+repeated rows are judged alike; very long URLs are taken whole; other columns
+pass through, and one that bears a result's name is replaced by the result.
 """
 
 from __future__ import annotations
@@ -53,11 +56,22 @@ def _bounds(keys: DataFrame, ranges: int) -> list[str]:
     share = min(1.0, 200.0 * ranges / max(n, 1))
     low = int(share * 2**31)
     sample = keys.filter(F.pmod(F.xxhash64("key", F.lit(17)), F.lit(2**31)) < low) if share < 1 else keys
-    got = sorted(r.key for r in sample.toLocalIterator())
+    got = sorted(r.key for r in sample.select(F.substring("key", 1, 512).alias("key")).toLocalIterator())
     step = max(1, len(got) // ranges)
     return sorted(set(got[step::step]))[: ranges - 1]
 
 
+def _place(bounds: list[str], key: Column) -> Column:
+    """The number of bounds at or below a key: first among every step-th bound, then among those between."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, round(len(bounds) ** 0.5))
+    below = lambda some: F.size(F.filter(some, lambda b: b <= key))
+    coarse = below(F.lit(bounds[::step]))
+    fine = F.element_at(F.array(*(F.lit(bounds[i : i + step]) for i in range(0, len(bounds), step))), F.greatest(coarse, F.lit(1)))
+    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * step + below(fine))
+
+
 def match_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", ranges: int | None = None) -> DataFrame:
     """``urls`` with ``host``, ``path``, ``rule`` and ``verdict`` added (or replaced).
 
@@ -71,8 +85,7 @@ def match_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str
     tail = F.concat(F.lit("\x01"), "path", F.lit("\x01"), F.hex(F.xxhash64(*plain)))
     u = u.withColumn("key", F.concat(reversed_host(F.col("host")), tail))
     bounds = _bounds(u.select("key"), ranges)
-    edge = F.lit(bounds) if bounds else F.array().cast("array<string>")
-    place = lambda c: F.size(F.filter(edge, lambda b: b <= c))  # noqa: E731  the number of bounds at or below
+    place = lambda key: _place(bounds, key)
     u = u.select(place(F.col("key")).alias("part"), F.lit(1).alias("kind"), "key", "host", "path", F.lit(None).cast("string").alias("verdict"), "row")
     r = rules.filter("host is not null and path is not null").select(
         F.lower("host").alias("host"), "path", "verdict", reversed_host(F.lower("host")).alias("key")
