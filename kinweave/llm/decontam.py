@@ -16,9 +16,11 @@ never leave the task that finds them, so a passage that a third of all
 documents share costs what it occupies.
 
 Tokens are runs of letters and digits, lower-cased.  Defined results: a null
-or empty text, or an item without tokens, never matches; items with equal text
+or empty text, or an item without tokens, never matches; very long texts are
+searched whole; items with equal text
 all match; an item's best segment in a text is reported once (ties:
-the longest, then the first); repeated rows are judged alike, row by row.
+the longest, then the first); repeated rows are judged alike, row by row; other columns pass through, but
+``find_leaks`` replaces one named ``leaks``, and ``drop_leaked`` keeps it.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from kinweave.llm import textvec as tv
 from kinweave.llm.common import add_columns, table
 
-#: Weight-5 and weight-6 masks (1: compared, 0: ignored).
+#: Masks (1: compared, 0: ignored).  The first takes runs of six; each other one ignores some positions inside.
 MASKS = ("111111", "1101011", "11010011", "110010111", "10110101", "11101")
 _TABLE_BITS = 24
 
@@ -209,9 +211,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
 _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("n_match", pa.int32()), ("n_tokens", pa.int32()), ("item_tokens", pa.int32()), ("doc_start", pa.int32()), ("item_start", pa.int32())]))
 
 
-def drop_leaked(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in whose text no benchmark item is found."""
-    return find_leaks(docs, items, **options).filter(F.size("leaks") == 0).select(*docs.columns)
+def drop_leaked(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` in whose text no benchmark item is found, with all their columns."""
+    row = docs.select(F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    clean = find_leaks(row, items, **options).filter(F.size("leaks") == 0)
+    return clean.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

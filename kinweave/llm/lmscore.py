@@ -22,8 +22,9 @@ without counts, and the background's counts are sent beside them.
 Defined results: tokens are runs of letters and digits, lower-cased; a null or
 empty text has no tokens and the score 0; without any target document the
 target model is uniform; repeated rows are counted as often as they stand
-there; documents with a null id are counted and scored as background; rows equal in
-all columns share a block.
+there; very long texts are taken whole; documents with a null id are counted
+and scored as background; rows equal in all columns share a block; other
+columns pass through, and one that bears a result's name is replaced.
 """
 
 from __future__ import annotations

@@ -251,6 +251,24 @@ def test_lexicon():
     assert len(lex.matches(toxicity.fold("you IDI0T, trash can, trash idiotic"))) == 2
 
 
+def test_matches_against_brute_force():
+    """Words outside exception phrases, by regular expressions, in texts full of both."""
+    lex = toxicity.Lexicon({toxicity.fold(w): 1.0 for w in ("trash", "clown", "pig", "garbage")})
+    rnd = np.random.default_rng(8)
+    bits = ["trash", "trash can", "clown", "circus clown", "clown car", "pig", "guinea pig", "pigs", "garbage truck", "collector", "x"]
+    for _ in range(200):
+        text = toxicity.fold(" ".join(rnd.choice(bits, 30)))
+        spared = [m.span() for p in toxicity.EXCEPTIONS for m in re.finditer(rf"(?=\b({re.escape(toxicity.fold(p))})\b)", text) for m in [re.compile(re.escape(m[1])).match(text, m.start())]]
+        hits = sorted(m.span() for w in lex.weights for m in re.finditer(rf"\b{w}\b", text) if not any(a <= m.start() and m.end() <= b for a, b in spared))
+        assert sorted((a, b) for a, b, _ in lex.matches(text)) == hits
+
+
+def test_toxicity_replaces_columns(spark):
+    docs = documents(spark, ["you idiot", "fine"]).withColumn("SCORE", F.lit("old")).withColumn("n_matches", F.lit("old"))
+    out = toxicity.score(docs, toxicity.Lexicon({toxicity.fold("idiot"): 1.0}))
+    assert [c.lower() for c in out.columns].count("score") == 1 and [r.n_matches for r in out.orderBy("doc_id").collect()] == [1, 0]
+
+
 def test_toxicity_held_out(spark):
     got = q.QUERIES["op3_toxicity"](spark, "/root/testdata/sf0.01").toPandas()
     assert got.score.between(0, 1).all() and ((got.score >= 0.5) == (got.predicted == 1)).all()
@@ -341,6 +359,48 @@ def test_quality_counts(spark):
         assert not (r.kept and r.base_failed)
 
 
+def brute_verdict(text, rules):
+    """(failed lines, lost share) of a text, line by line."""
+    failed, lost, total, seen = [], 0, 0, set()
+    for line in text.split("\n"):
+        words = re.findall(r"[^\x20\x09-\x0D]+", line)
+        if not words:
+            failed.append(False)
+            continue
+        bare = re.sub(r"[\x20\x09-\x0D]+$", "", line)
+        ends = any(bare.endswith(m) for m in quality.TERMINAL)
+        alone = sum(w in quality.SEPARATORS for w in words)
+        letters, upper = sum(c.isascii() and c.isalpha() for c in line), sum(c.isascii() and c.isupper() for c in line)
+        bad = not ends and len(words) < rules.short_line
+        bad |= sum(map(line.count, "#*$%&|<>")) - alone > rules.max_symbols_per_word * len(words)
+        bad |= line.count("!") > rules.max_exclaims_per_word * max(len(words), 2)
+        bad |= letters >= 20 and upper > rules.max_upper_share * letters
+        bad |= alone >= 2 and alone > rules.max_separator_share * len(words)
+        low = "".join(c.lower() if c.isascii() else c for c in line)
+        bad |= line in seen or any(p in low for p in quality.BOILERPLATE) and len(words) <= rules.boilerplate_words
+        seen.add(line)
+        failed.append(bad)
+        total += len(line)
+        lost += bad * len(line)
+    return failed, lost / max(total, 1)
+
+
+def test_quality_verdicts_against_brute_force(spark):
+    rules = quality.Rules()
+    more = ["A | b > c\nMENTIONS LéGALES du site\nmentions légales\nMentions légales ici\n" + prose(3) + ".", "SHOUTING AT EVERYONE HERE TODAY IS RUDE INDEED, MY FRIEND.\n" + prose(4) + ".\n! ! !\nWow! No! Yes!\n" + prose(5) + "»"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd_documents(spark).select("doc_id", "text")).unionByName(documents(spark, more).select("doc_id", "text"))
+    verdicts = set()
+    for r in quality.judge(docs).collect():
+        failed, share = brute_verdict(r.text or "", rules)
+        assert (r.n_lines, r.n_lines_failed) == (len(failed), sum(failed)) and r.lost_share == pytest.approx(share)
+        assert r.kept == (not r.base_failed and share <= rules.max_lost_share)
+        assert r.clean_text == "\n".join(x for x, bad in zip((r.text or "").split("\n"), failed, strict=True) if not bad)
+        verdicts.add((r.kept, r.base_failed))
+    assert len(verdicts) == 3
+    clash = quality.judge(odd_documents(spark).withColumn("KEPT", F.lit("old")).withColumn("n_words", F.lit("old")))
+    assert [c.lower() for c in clash.columns].count("kept") == 1 and clash.schema["n_words"].dataType.simpleString() == "bigint"
+
+
 def test_quality_rules(spark):
     clean = "A clean title\n" + "\n".join(f"{prose(i, 12)}, sentence number {i}." for i in range(8))
     menu = "Home | News | Sport | Weather | Contact\n" * 2
@@ -495,6 +555,37 @@ def test_leaks_of_short_items(spark):
         assert got == {0: both(120), 1: [], 2: [], 3: [(3, 1, 1, 1, 0, 0)], 4: [], 5: [(3, 1, 1, 1, 1, 0)], 6: both(0), 7: both(0)}
 
 
+def brute_leak(text, item, rule):
+    """The most tokens that a text and an item share in one segment of a diagonal, if they count."""
+    best = 0
+    for d in range(1 - len(item), len(text)):
+        a, b = max(d, 0), min(d + len(item), len(text))
+        same = np.array(text[a:b]) == np.array(item[a - d : b - d])
+        if same.sum() > best:
+            best = max(best, decontam._segment(same, rule.min_identity)[0])
+    return best >= max(rule.min_tokens, min(rule.min_match, rule.min_share * len(item)))
+
+
+def test_leaks_with_substitutions_against_brute_force(spark):
+    """Of copies with words exchanged at random none is found that brute force doesn't find, and nearly all that it does."""
+    rnd, rule = np.random.default_rng(77), decontam.Overlap()
+    items = [prose(200 + i, int(n)) for i, n in enumerate(rnd.integers(9, 60, 8))]
+    texts = []
+    for i in range(64):
+        w = items[i % 8].split()
+        change = rnd.random(len(w)) < rnd.choice([0.0, 0.1, 0.2, 0.3, 0.5])
+        w = [f"z{j}" if c else x for j, (x, c) in enumerate(zip(w, change, strict=True))][rnd.integers(0, 3) :]
+        texts.append(f"{prose(300 + i, 40)} {' '.join(w)} {prose(400 + i, 40)}")
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, x.item_id) for r in decontam.find_leaks(documents(spark, texts), table).collect() for x in r.leaks}
+    want = {(i, j) for i, t in enumerate(texts) for j, x in enumerate(items) if brute_leak(t.split(), x.split(), rule)}
+    assert got <= want and len(got) >= 0.95 * len(want) and 30 < len(want) < 64
+    own = documents(spark, texts).withColumn("leaks", F.lit("mine"))
+    kept = decontam.drop_leaked(own, table)
+    assert kept.columns == own.columns and {r.leaks for r in kept.collect()} == {"mine"}
+    assert {r.doc_id for r in kept.collect()} == set(range(64)) - {i for i, _ in got}
+
+
 def test_leaks_query_against_brute_force(spark):
     words = lambda s: re.findall(r"[^\W_]+", s.lower())
     items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
@@ -522,6 +613,14 @@ def test_urls(spark):
     assert urlfilter.match_urls(pages, rules.limit(0), default="block").filter("verdict = 'block'").count() == 12
 
 
+def test_places_among_bounds(spark):
+    bounds = sorted({f"k{i * 7919 % 1000:03d}" for i in range(130)})
+    keys = spark.createDataFrame([(b,) for b in [*bounds, "", "k0005", "k5", "z"]], "key string")
+    for some in (bounds, bounds[:1], []):
+        got = keys.select("key", urlfilter._place(some, F.col("key")).alias("n")).collect()
+        assert all(r.n == sum(b <= r.key for b in some) for r in got)
+
+
 def test_urls_against_brute_force(spark):
     rnd = np.random.default_rng(2)
     hosts = [".".join(rnd.choice(list("abc"), rnd.integers(1, 4))) for _ in range(200)]
