@@ -53,6 +53,7 @@ MIN_SIMILARITY = 0.8
 _BITS, _PIECE = 18, 1024
 _LIMIT = 1 << 18
 _MEET = 128  # texts in a block of a bucket
+_ID, _N, _TH = "kinweave: id", "kinweave: rows", "kinweave: text"  # beside the columns of a table
 
 
 def shingles(block: tv.Block, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -363,19 +364,25 @@ def _same_id(named: DataFrame) -> DataFrame:
     return join_spread(named, several, ["id"], ["node"]).filter("a < node").select("a", F.col("node").alias("b")).distinct()
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_broadcast: int = 500_000) -> DataFrame:
     """One document of each class stays: the one of least id (and every row without an id).
 
     Of rows with one id and text one stays; an id's other texts stay with it.
+    Texts are not shuffled while at most ``max_broadcast`` ids go.
     """
-    gone = classes(docs, doc_id, text).filter("class_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    gone = cut(gone)
-    twice = docs.groupBy(F.col(doc_id).alias("_id")).agg(F.count("*").alias("_n")).filter("_n > 1 and _id is not null").select("_id")
-    same = F.col(doc_id) == F.col("_id")
-    once = docs.join(gone.unionByName(twice), same, "left_anti")
-    rest = docs.join(twice, same, "left_semi").join(gone, same, "left_anti")
-    rest = rest.withColumn("_th", F.xxhash64(text)).dropDuplicates([doc_id, "_th"])
-    return once.select(*docs.columns).unionByName(rest.select(*docs.columns))
+    gone = cut(classes(docs, doc_id, text).filter("class_id <> doc_id").select(F.col("doc_id").alias(_ID)).distinct())
+    twice = cut(docs.groupBy(F.col(doc_id).alias(_ID)).agg(F.count("*").alias(_N)).filter((F.col(f"`{_N}`") > 1) & F.col(f"`{_ID}`").isNotNull()).select(f"`{_ID}`"))
+    same = F.col(doc_id) == F.col(f"`{_ID}`")
+    out = docs.join(_sent(gone.unionByName(twice), max_broadcast), same, "left_anti")
+    if not twice.isEmpty():
+        rest = docs.join(_sent(twice, max_broadcast), same, "left_semi").join(_sent(gone, max_broadcast), same, "left_anti")
+        out = out.unionByName(rest.withColumn(_TH, F.xxhash64(text)).dropDuplicates([doc_id, _TH]).select(*docs.columns))
+    return out
+
+
+def _sent(ids: DataFrame, most: int) -> DataFrame:
+    """The ids, to be sent to all tasks if they are at most so many, and joined with a shuffle otherwise."""
+    return F.broadcast(ids) if ids.count() <= most else ids
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

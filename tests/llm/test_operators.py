@@ -79,9 +79,11 @@ def test_near_dedup_of_repeated_ids(spark):
     """Rows that repeat an id link the classes of their texts; repeated rows leave one."""
     a, b, c = prose(1), prose(2), prose(3)
     rows = [(5, a), (5, b), (1, a), (3, b), (9, b), (7, c), (7, c), (8, edited(c, 4)), (6, prose(4)), (6, prose(5))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_id", F.lit("own")).withColumn("id", F.lit(1)).withColumn("class_id", F.lit(2))
     assert set(neardup.classes(docs).collect()) == {(1, 1), (3, 1), (5, 1), (9, 1), (7, 7), (8, 7), (6, 6)}
-    assert sorted((r.doc_id, r.text) for r in neardup.keep_one(docs).collect()) == sorted([(1, a), (7, c), (6, prose(4)), (6, prose(5))])
+    for most in (500_000, 0):
+        kept = neardup.keep_one(docs, max_broadcast=most).collect()
+        assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (7, c), (6, prose(4)), (6, prose(5))])
 
 
 def test_near_dedup_weighs_frequent_shingles(spark):
