@@ -76,3 +76,7 @@ SOUNDS = (
 )
 #: Skeletons of legal forms, as names in Latin and Indic scripts give them.
 LEGAL_SKELETONS = "ers in ink inkrprtd inks kmpn kmpni ko kri lk llk llp lmtd ltd pk prvt pvt sas sasu sk srl".split()
+#: Patterns of dotted initials (closed up in this order), of trading names and of domain names.
+DOTTED = (r"\b([a-z])\.(?=[a-z]\.)", r"\b([a-z])\.([a-z])\.?\b")
+TRADE_NAME = r"\b(dba|trading as|t/a|aka)\b"
+DOMAIN_NAME = r"\.(com|fr|net|org|in|co)\b"

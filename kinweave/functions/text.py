@@ -7,7 +7,10 @@ map literals.  A null text counts as empty.
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -127,17 +130,40 @@ def packed_id(c: Column | str) -> Column:
     return F.substring(s, 4, 30).cast("long") + F.when(s.startswith("S3"), F.lit(10**10)).otherwise(F.lit(0))
 
 
+@lru_cache
+def _plain_letters() -> dict[str, str]:
+    """Characters from U+0250 on whose decomposition holds an ASCII letter or digit, or that combine: what they leave."""
+    found = {}
+    for code in [*range(0x250, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F250)]:
+        c = chr(code)
+        if unicodedata.combining(c):
+            found[c] = ""
+        elif (to := _decomposed(code)) != c and re.search("[a-z0-9.&/]", to):
+            found[c] = to
+    return found
+
+
+def _far_accents(s: Column) -> Column:
+    """The decompositions that :func:`strip_accents` leaves out, as far as core names can see them."""
+    table = _plain_letters()
+    one = {c: to for c, to in table.items() if len(to) == 1}
+    gone = "".join(c for c, to in table.items() if not to)
+    s = F.translate(s, "".join(one) + gone, "".join(one.values()))
+    more = F.from_json(F.lit(json.dumps({c: to for c, to in table.items() if len(to) > 1})), "map<string,string>")
+    return F.array_join(F.transform(F.split(s, ""), lambda c: F.coalesce(F.try_element_at(more, c), c)), "")
+
+
 def core_fold(c: Column | str) -> Column:
     """Fold for core names: accents always go, dotted initials close up."""
     s = strip_accents(F.lower(F.replace(_text(c), F.lit("�"), F.lit(""))))
-    s = F.regexp_replace(s, r"[\x{300}-\x{36F}]", "")
-    s = F.regexp_replace(s, r"\b([a-z])\.(?=[a-z]\.)", "$1")
-    return F.regexp_replace(s, r"\b([a-z])\.([a-z])\.?\b", "$1$2")
+    s = F.when(s.rlike("[^\\x{0}-\\x{24F}]"), _far_accents(s)).otherwise(s)
+    s = F.regexp_replace(s, k.DOTTED[0], "$1")
+    return F.regexp_replace(s, k.DOTTED[1], "$1$2")
 
 
 def _core_words(c: Column | str) -> tuple[Column, Column]:
     s = core_fold(c)
-    trade_name = s.rlike(r"\b(dba|trading as|t/a|aka)\b") | s.rlike(r"\.(com|fr|net|org|in|co)\b")
+    trade_name = s.rlike(k.TRADE_NAME) | s.rlike(k.DOMAIN_NAME)
     return trade_name, tokens(F.replace(s, F.lit("&"), F.lit(" ")))
 
 

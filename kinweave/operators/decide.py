@@ -15,10 +15,11 @@ def gate_extra(pairs: DataFrame, gate: float, extra: float) -> DataFrame:
     return r.filter((F.col("p1") >= gate) & ((F.col("rank") == 0) | (F.col("s") >= extra))).drop("p1")
 
 
-def one_owner(pairs: DataFrame) -> DataFrame:
-    """Each candidate goes to the query that scores it highest."""
-    best = pairs.groupBy("p").agg(F.max_by("q", F.struct("s", -F.col("q"))).alias("q"))
-    return pairs.join(best, ["p", "q"], "left_semi")
+def one_owner(pairs: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """Each candidate (of each group of the columns ``within``) goes to the query that scores it highest; ties go to the least id."""
+    keys = [*within, "p"]
+    best = pairs.groupBy(*keys).agg(F.min(F.struct((-F.col("s")).alias("s"), F.col("q").alias("q"))).alias("best"))
+    return pairs.join(best.select(*keys, "best.q"), [*keys, "q"], "left_semi")
 
 
 def outcome(pairs: DataFrame, truth: DataFrame) -> DataFrame:
@@ -93,23 +94,42 @@ def tune_gate_extra(pairs: DataFrame, truth: DataFrame, queries: DataFrame, gate
 
 
 def tune_threshold(pairs: DataFrame, truth: DataFrame, queries: DataFrame, thresholds: list[float]) -> DataFrame:
-    """(threshold, macro_f05) when all pairs from the threshold on are kept; the ends of stretches are summed as above."""
+    """(threshold, macro_f05) when all pairs from the threshold on are kept; the ends of stretches are summed as above.
+
+    With a column ``country`` beside the queries' ``q``: (country, threshold, macro_f05) of each country's queries.
+    """
     n = len(thresholds)
+    by = ["country"] if "country" in queries.columns else []
     rows = _steps(pairs, truth, queries, thresholds)
+    rows = rows.join(queries.select("q", *by), "q") if by else rows
     one = lambda n: F.lit(n).alias("one")
-    stretch = rows.filter("rank is not null").select(f05(F.col("n_pred"), F.col("n_hit"), F.col("n_true")).alias("v"), (F.col("below") + 1).alias("low"), (F.col("level") + 1).alias("high"), one(0))
-    rest = rows.filter("rank is null or rank = 0").select(_without().alias("v"), (F.coalesce("level", F.lit(0)) + 1).alias("low"), F.lit(n + 1).alias("high"), one(1))
+    stretch = rows.filter("rank is not null").select(*by, f05(F.col("n_pred"), F.col("n_hit"), F.col("n_true")).alias("v"), (F.col("below") + 1).alias("low"), (F.col("level") + 1).alias("high"), one(0))
+    rest = rows.filter("rank is null or rank = 0").select(*by, _without().alias("v"), (F.coalesce("level", F.lit(0)) + 1).alias("low"), F.lit(n + 1).alias("high"), one(1))
     low = F.struct(F.col("low").alias("at"), F.col("v").alias("v"), F.col("one").alias("one"))
     high = F.struct(F.col("high").alias("at"), (-F.col("v")).alias("v"), F.lit(0).alias("one"))
-    ends = stretch.unionByName(rest).select(F.explode(F.array(low, high)).alias("x"))
-    sums = ends.groupBy("x.at").agg(F.sum("x.v").alias("v"), F.sum("x.one").alias("one")).agg(F.collect_list(F.struct("at", "v")).alias("ends"), F.sum("one").alias("n"))
-    at = sums.select("ends", "n", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
+    ends = stretch.unionByName(rest).select(*by, F.explode(F.array(low, high)).alias("x"))
+    sums = ends.groupBy(*by, "x.at").agg(F.sum("x.v").alias("v"), F.sum("x.one").alias("one")).groupBy(*by).agg(F.collect_list(F.struct("at", "v")).alias("ends"), F.sum("one").alias("n"))
+    at = sums.select(*by, "ends", "n", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
     got = F.aggregate(F.filter("ends", lambda x: x["at"] <= F.col("i")), F.lit(0.0), lambda a, x: a + x["v"])
-    return at.select(F.element_at(F.array(*map(F.lit, thresholds)), F.col("i")).alias("threshold"), (got / F.col("n")).alias("macro_f05"))
+    return at.select(*by, F.element_at(F.array(*map(F.lit, thresholds)), F.col("i")).alias("threshold"), (got / F.col("n")).alias("macro_f05"))
+
+
+def country_thresholds(tuned: DataFrame, unseen: DataFrame | None = None) -> DataFrame:
+    """(country, threshold, macro_f05): each country's best threshold, the least of equal ones.
+
+    A country of ``unseen``, (country), that was not tuned gets the highest threshold of the others and no metric.
+    """
+    best = tuned.groupBy("country").agg(F.min(F.struct((-F.round("macro_f05", 9)).alias("f"), F.col("threshold"))).alias("b"))
+    best = best.select("country", "b.threshold", (-F.col("b.f")).alias("macro_f05"))
+    if unseen is None:
+        return best
+    most = best.agg(F.max("threshold").alias("threshold"))
+    new = unseen.select("country").distinct().join(best, "country", "left_anti").join(F.broadcast(most))  # one row
+    return best.unionByName(new.select("country", "threshold", F.lit(None).cast("double").alias("macro_f05")))
 
 
 def best_row(tuned: DataFrame, *ties) -> DataFrame:
-    """The grid row of highest metric; ``ties`` order equal ones."""
+    """The grid row of highest metric; ``ties`` order equal ones (least threshold first, or highest gate, then highest extra)."""
     return tuned.orderBy(F.desc(F.round("macro_f05", 9)), *ties).limit(1)
 
 

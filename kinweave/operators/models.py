@@ -76,9 +76,40 @@ def self_train(labelled: DataFrame, target: DataFrame, features: list[str], roun
     return scored
 
 
-def two_stage(train: DataFrame, test: DataFrame, features: list[str], context: Callable[[DataFrame], DataFrame], context_names: list[str], **options) -> DataFrame:
-    """Stage 1 scored out of fold on the training rows, context features of its scores, stage 2 over both."""
-    first = out_of_fold(train, features, **options)
-    stage1 = fit(train, features, **options)
-    stage2 = fit(context(first), [*features, *context_names], **options)
+def two_stage(train: DataFrame, test: DataFrame, features: list[str], context: Callable[[DataFrame], DataFrame], context_names: list[str],
+              first: dict | None = None, second: dict | None = None, stop: tuple[int, int] | None = None, **options) -> DataFrame:
+    """Stage 1 scored out of fold on the training rows, context features of its scores, stage 2 over both.
+
+    ``first`` and ``second`` are options of one stage; ``stop`` names the last
+    digits of the queries on which stage 1 and stage 2 stop early; a stage does
+    not train on its own.
+    """
+    one, two = options | (first or {}), options | (second or {})
+    held = lambda rows, i: rows.withColumn("_stop", split_digit() == stop[i])
+    scored = out_of_fold(train, features, **one)
+    if stop is None:
+        stage1, stage2 = fit(train, features, **one), fit(context(scored), [*features, *context_names], **two)
+    else:
+        stage1 = fit(held(train, 0), features, validation="_stop", **one)
+        stage2 = fit(held(context(scored), 1), [*features, *context_names], validation="_stop", **two)
     return predict(stage2, context(predict(stage1, test)).withColumnRenamed("s", "s1"), "s")
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def fit_or_load(path: str, make: Callable[[], PipelineModel]) -> PipelineModel:
+    """The model of that path, made and saved if it is not there (a run that was broken off goes on behind its last model)."""
+    from pyspark.errors import PySparkException
+    from py4j.protocol import Py4JJavaError
+
+    try:
+        return load(path)
+    except (PySparkException, Py4JJavaError):
+        save(make(), path)
+        return load(path)

@@ -19,19 +19,19 @@ MIN_STREET = 0.85
 
 
 def prepared(records: DataFrame) -> DataFrame:
-    """entity_id, name, address, key (sorted core words), words (in order), legal, num, street, blank."""
+    """entity_id, country, name, address, key (sorted core words), words (in order), legal, num, street, blank."""
     return records.select(
-        "entity_id", "name", "address", t.core_key("name").alias("key"), t.core_key("name", ordered=True).alias("words"),
+        "entity_id", F.col("country") if "country" in records.columns else F.lit("").alias("country"), "name", "address",
+        t.core_key("name").alias("key"), t.core_key("name", ordered=True).alias("words"),
         F.coalesce(t.split_core("name")["legal"], F.array().cast("array<string>")).alias("legal"),
         kn.street_number_udf(F.coalesce("address", F.lit(""))).alias("num"), kn.street_name_udf(F.coalesce("address", F.lit(""))).alias("street"), t.blank("address").alias("blank"),
     )
 
 
 def _sides(queries: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return (
-        queries.select(*(F.col(c).alias(f"q_{'id' if c == 'entity_id' else c}") for c in queries.columns)),
-        pool.select(*(F.col(c).alias(f"p_{'id' if c == 'entity_id' else c}") for c in pool.columns)),
-    )
+    """Both tables with prefixes; the country, which every rule joins on, keeps its name."""
+    side = lambda r, x: r.select(*(F.col(c) if c == "country" else F.col(c).alias(f"{x}_{'id' if c == 'entity_id' else c}") for c in r.columns))
+    return side(queries, "q"), side(pool, "p")
 
 
 def legal_fits() -> Column:
@@ -40,42 +40,55 @@ def legal_fits() -> Column:
 
 
 def street_fits() -> Column:
-    return (F.col("q_street") == F.col("p_street")) | (kn.ratio_udf("q_street", "p_street") >= MIN_STREET)
+    """Equal, or alike; equal streets, and those too unlike in length, reach the kernel as nulls."""
+    q, p = F.col("q_street"), F.col("p_street")
+    a, b = F.char_length(q), F.char_length(p)
+    open_ = (q != p) & (2 * F.least(a, b) >= MIN_STREET * (a + b))
+    return (q == p) | (open_ & (kn.ratio_udf(F.when(open_, q), F.when(open_, p)) >= MIN_STREET))
 
 
 def _by_key(queries: DataFrame, pool: DataFrame) -> DataFrame:
     q, p = _sides(queries.filter("key is not null"), pool.filter("key is not null"))
-    return q.join(p, q["q_key"] == p["p_key"]).filter(legal_fits())
+    return q.withColumn("key", F.col("q_key")).join(p.withColumn("key", F.col("p_key")), ["country", "key"]).filter(legal_fits())
 
 
 def exact_core(queries: DataFrame, pool: DataFrame) -> DataFrame:
     """The same core words; number and street agree, or the candidate has no address."""
-    q, p = _sides(queries.filter("key is not null"), pool.filter("key is not null"))
-    placed = q.filter("q_num <> '' and q_street <> ''").join(p.filter("not p_blank and p_num <> '' and p_street <> ''"), (F.col("q_key") == F.col("p_key")) & (F.col("q_num") == F.col("p_num")))
-    placed = placed.filter(legal_fits()).filter(street_fits()).select("q_id", "p_id")
-    bare = q.join(p.filter("p_blank"), F.col("q_key") == F.col("p_key")).filter(legal_fits()).select("q_id", "p_id")
+    placed = _by_key(queries.filter("num <> '' and street <> ''"), pool.filter("not blank and num <> '' and street <> ''"))
+    placed = placed.filter("q_num = p_num").filter(street_fits()).select("q_id", "p_id")
+    bare = _by_key(queries, pool.filter("blank")).select("q_id", "p_id")
     return unique_owner(placed).withColumn("kind", F.lit("addr")).unionByName(unique_owner(bare).withColumn("kind", F.lit("empty")))
 
 
 def number_missing(queries: DataFrame, pool: DataFrame) -> DataFrame:
     """The same core words and street; the candidate has no number."""
-    j = _by_key(queries, pool).filter(~F.col("p_blank") & (F.col("p_num") == "") & (F.col("p_street") != "") & (F.col("q_street") != ""))
-    return unique_owner(j.filter(street_fits())).withColumn("kind", F.lit("nonum"))
+    j = _by_key(queries.filter("street <> ''"), pool.filter("not blank and num = '' and street <> ''"))
+    return unique_owner(j.filter(street_fits()).select("q_id", "p_id")).withColumn("kind", F.lit("nonum"))
 
 
 def _by_address(queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """Records at the same address: streets are compared once for each number, then records meet by equality."""
     q, p = _sides(queries.filter("num <> '' and street <> ''"), pool.filter("num <> '' and street <> '' and not blank"))
-    same = (q["q_num"] == p["p_num"]) & (F.substring("q_street", 1, 3) == F.substring("p_street", 1, 3))
-    return q.join(p, same)
+    a = q.select("country", F.col("q_num").alias("num"), "q_street").distinct()
+    b = p.select("country", F.col("p_num").alias("num"), "p_street").distinct()
+    begins = F.substring("q_street", 1, 3) == F.substring("p_street", 1, 3)
+    fits = a.join(b, ["country", "num"]).filter(begins).filter(street_fits())
+    q, p = q.withColumn("num", F.col("q_num")), p.withColumn("num", F.col("p_num"))
+    return q.join(fits, ["country", "num", "q_street"]).join(p, ["country", "num", "p_street"])
 
 
 def aligned(queries: DataFrame, pool: DataFrame, mode: str = "typo") -> DataFrame:
     """At the same address, core words that align: all of them ("typo"), or with words dropped ("del") or added ("add")."""
     a, b = F.size("q_key"), F.size("p_key")
     fits = {"typo": a == b, "del": (b > 0) & (b < a), "add": (a > 0) & (a < b)}[mode]
-    j = _by_address(queries, pool).filter(F.col("q_key").isNotNull() & F.col("p_key").isNotNull() & fits).filter(legal_fits()).filter(street_fits())
+    named = lambda r: r.select("entity_id", "country", "key", "legal", "num", "street", "blank").filter("key is not null")
+    j = _by_address(named(queries), named(pool)).filter(fits).filter(legal_fits())
     long, short = ("p_key", "q_key") if mode == "add" else ("q_key", "p_key")
-    return unique_owner(j.filter(kn.align_udf(long, short) > 0)).withColumn("kind", F.lit(mode))
+    # words that are all found as they are need no kernel; others reach it once a pair of names
+    plain = F.size(F.array_except(short, long)) == 0
+    plain = plain & (F.size(F.array_distinct(short)) == F.size(short))
+    open_ = lambda c: F.when(~plain, F.col(c))
+    return unique_owner(j.filter(plain | (kn.align_udf(open_(long), open_(short)) > 0)).select("q_id", "p_id")).withColumn("kind", F.lit(mode))
 
 
 def sole_at_address(queries: DataFrame, pool: DataFrame, relation: str, compat: bool = False) -> DataFrame:
@@ -86,10 +99,10 @@ def sole_at_address(queries: DataFrame, pool: DataFrame, relation: str, compat:
     candidate is one invented word; "any": no name test.  ``compat`` joins the
     words in alphabetical order instead of their own.
     """
-    j = _by_address(queries, pool).filter(street_fits())
-    only = unique_owner(j)
+    bare = lambda r: r.select("entity_id", "country", "num", "street", "blank")
+    only = unique_owner(_by_address(bare(queries), bare(pool)).select("q_id", "p_id"))
     q, p = _sides(queries, pool)
-    j = only.join(q, "q_id").join(p, "p_id")
+    j = only.join(q, "q_id").join(p.drop("country"), "p_id")
     none = F.array().cast("array<string>")
     qw, pw = F.coalesce(F.col("q_key" if compat else "q_words"), none), F.coalesce(F.col("p_key" if compat else "p_words"), none)
     j = j.filter(~F.arrays_overlap(qw, pw))
@@ -103,46 +116,46 @@ def sole_at_address(queries: DataFrame, pool: DataFrame, relation: str, compat:
     elif relation == "pseudo":
         word = F.try_element_at(pw, F.lit(1))
         j = j.filter((F.size(pw) == 1) & (F.char_length(word) >= 5) & word.rlike("^[a-z]+$") & (F.size("p_legal") == 0)).withColumn("word", word)
-        known = queries.select(F.explode("key").alias("word")).distinct()
-        j = j.join(known, "word", "left_anti")
+        known = queries.select("country", F.explode("key").alias("word")).distinct()
+        j = j.join(known, ["country", "word"], "left_anti")
     elif relation != "any":
         raise ValueError(relation)
     return j.select("q_id", "p_id", F.lit(relation).alias("kind"))
 
 
 def vocabulary(queries: DataFrame, min_names: int = 30) -> DataFrame:
-    """(word, n): words of more than two letters in the core names of at least ``min_names`` queries."""
-    each = queries.select(F.explode(F.array_distinct("key")).alias("word"))
-    return each.groupBy("word").agg(F.count("*").alias("n")).filter((F.col("n") >= min_names) & (F.char_length("word") > 2))
+    """(country, word, n): words of more than two letters in the core names of at least ``min_names`` queries of a country."""
+    each = queries.select("country", F.explode(F.array_distinct("key")).alias("word"))
+    return each.groupBy("country", "word").agg(F.count("*").alias("n")).filter((F.col("n") >= min_names) & (F.char_length("word") > 2))
 
 
 def descriptor_swap(matches: DataFrame, queries: DataFrame, pool: DataFrame, min_names: int = 30) -> DataFrame:
     """Matches without extras that only swap one common descriptor for another.  ``matches``: (q_id, p_id, rank); rank 0 stays."""
-    q, p = _sides(queries.select("entity_id", "key"), pool.select("entity_id", "key"))
+    q, p = _sides(queries.select("entity_id", "country", "key"), pool.select("entity_id", "key"))
     common = vocabulary(queries, min_names)
-    j = matches.join(q, "q_id", "left").join(p, "p_id", "left")
+    j = matches.join(q, "q_id").join(p, "p_id")
     added, dropped = F.array_except("p_key", "q_key"), F.array_except("q_key", "p_key")
     swap = j.filter((F.col("rank") > 0) & (F.size(added) > 0) & (F.size(dropped) > 0) & F.arrays_overlap("q_key", "p_key"))
-    changed = swap.select("q_id", "p_id", F.explode(F.concat(added, dropped)).alias("word"))
-    rare = changed.join(common, "word", "left_anti").select("q_id", "p_id").distinct()
+    changed = swap.select("q_id", "p_id", "country", F.explode(F.concat(added, dropped)).alias("word"))
+    rare = changed.join(common, ["country", "word"], "left_anti").select("q_id", "p_id").distinct()
     gone = swap.select("q_id", "p_id").join(rare, ["q_id", "p_id"], "left_anti")
     return matches.join(gone, ["q_id", "p_id"], "left_anti")
 
 
 def competition(matches: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """Matches without extras whose core name is another query's and not their own."""
-    q, p = _sides(queries.select("entity_id", "key"), pool.select("entity_id", "key"))
-    taken = queries.filter("key is not null").select(F.col("key").alias("p_key")).distinct()
+    """Matches without extras whose core name is another query's of the country and not their own."""
+    q, p = _sides(queries.select("entity_id", "country", "key"), pool.select("entity_id", "key"))
+    taken = queries.filter("key is not null").select("country", F.col("key").alias("p_key")).distinct()
     j = matches.filter("rank > 0").join(q, "q_id").join(p, "p_id").filter("p_key <> q_key")
-    gone = j.join(taken, "p_key", "left_semi").select("q_id", "p_id")
+    gone = j.join(taken, ["country", "p_key"], "left_semi").select("q_id", "p_id")
     return matches.join(gone, ["q_id", "p_id"], "left_anti")
 
 
 def empty_address(matches: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """Unowned candidates without address whose core name has one query, one that is matched already."""
+    """Unowned candidates without address whose core name has one query in their country, one that is matched already."""
     free = pool.filter("blank and key is not null").join(matches.select(F.col("p_id").alias("entity_id")), "entity_id", "left_anti")
-    owner = queries.filter("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.first("entity_id").alias("q_id")).filter("n = 1")
-    j = free.join(owner, "key").select("q_id", F.col("entity_id").alias("p_id"))
+    owner = queries.filter("key is not null").groupBy("country", "key").agg(F.count("*").alias("n"), F.first("entity_id").alias("q_id")).filter("n = 1")
+    j = free.join(owner, ["country", "key"]).select("q_id", F.col("entity_id").alias("p_id"))
     return j.join(matches, "q_id", "left_semi").withColumn("kind", F.lit("empty"))
 
 
@@ -165,3 +178,18 @@ def precision(found: DataFrame, truth: DataFrame) -> DataFrame:
     """(kind, n, precision) of proposed pairs, against (q_id, p_id)."""
     y = found.join(truth.select("q_id", "p_id", F.lit(1.0).alias("y")), ["q_id", "p_id"], "left")
     return y.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("y", F.lit(0.0))), 6).alias("precision"))
+
+
+def harness(rules: dict, queries: DataFrame, pool: DataFrame, truth: DataFrame, share: float = 0.15) -> DataFrame:
+    """(rule, kind, n, precision, fired): each rule alone on a hash sample of the pool, whatever a model says.
+
+    ``rules`` maps names to functions of (queries, pool); ``fired`` is the rule's share of the sample.
+    """
+    from functools import reduce
+
+    from kinweave.operators.blocking import sample_by_hash
+
+    sample = sample_by_hash(pool, share)
+    size = F.greatest(F.lit(sample.count()), F.lit(1))
+    found = [precision(rule(queries, sample), truth).withColumn("rule", F.lit(name)) for name, rule in rules.items()]
+    return reduce(DataFrame.unionByName, found).select("rule", "kind", "n", "precision", F.round(F.col("n") / size, 6).alias("fired"))

@@ -55,5 +55,4 @@ class Decision:
             out = kept if out is None else out.unionByName(kept)
         if not self.assign:
             return out
-        best = out.groupBy("country", "p").agg(F.max_by("q", F.struct("s", -F.col("q"))).alias("q"))
-        return out.join(best, ["country", "p", "q"], "left_semi")
+        return decide.one_owner(out, ("country",))

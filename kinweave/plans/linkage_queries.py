@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions import kernels as kn
 from kinweave.functions import text as t
-from kinweave.operators import assemble, blocking, decide, models, pairs, rules, training, windows
+from kinweave.operators import assemble, blocking, decide, encoders, models, pairs, rules, training, windows
+from kinweave.plans.linkage_sql import CORE_NAMES, INDIC, NAME_PAIRS
 from kinweave.plans.linkage_sql import SQL as _SQL
 from kinweave.sources import records as r
 
@@ -131,21 +134,30 @@ def tfidf_topk(spark, sf_dir):
 
 @query
 def dense_topk(spark, sf_dir):
+    """The ten nearest other vectors of every vector whose id is divisible by 20, among all vectors."""
     q, p = _vectors(spark, sf_dir)
-    return blocking.dense_topk(q, p, 10)
+    return blocking.dense_topk(q, p, 10, skip_same=True)
 
 
 def _vectors(spark, sf_dir):
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
-    return v.filter("id % 5 = 0"), v.filter("id % 5 <> 0")
+    return v.filter("id % 20 = 0"), v
 
 
 @query
-def recall_at_k(spark, sf_dir):
+def dense_topk_by_country(spark, sf_dir):
+    """The same within labels as countries, with string ids."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    p = v.select(F.concat(F.lit("S2-"), "vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("country"))
+    return blocking.dense_topk(p.filter(v["vec_id"] % 20 == 0), p, 3, block=64, skip_same=True)
+
+
+@query
+def neighbour_labels(spark, sf_dir):
     """Of each query vector's ten neighbours: how often the first k hold one of its label."""
     q, p = _vectors(spark, sf_dir)
     label = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
-    top = blocking.dense_topk(q, p, 10).join(label.select(F.col("vec_id").alias("q_id"), F.col("label").alias("ql")), "q_id").join(label.select(F.col("vec_id").alias("p_id"), F.col("label").alias("pl")), "p_id")
+    top = blocking.dense_topk(q, p, 10, skip_same=True).join(label.select(F.col("vec_id").alias("q_id"), F.col("label").alias("ql")), "q_id").join(label.select(F.col("vec_id").alias("p_id"), F.col("label").alias("pl")), "p_id")
     first = top.filter("ql = pl").groupBy("q_id").agg(F.min("rank").alias("first"))
     every = q.select(F.col("id").alias("q_id")).join(first, "q_id", "left").withColumn("first", F.coalesce("first", F.lit(99)))
     k = F.explode(F.array(*(F.lit(n).cast("long") for n in (1, 5, 10)))).alias("k")
@@ -153,6 +165,26 @@ def recall_at_k(spark, sf_dir):
     return _round(hit, "recall")
 
 
+def _name_candidates(spark, sf_dir, k=10):
+    d = r.document_records(spark, sf_dir)
+    q, p = _sides(d)
+    return d, blocking.tfidf_topk(q, p, k, t.name_tokens("name", strip_suffix=False))
+
+
+@query
+def recall_at_k(spark, sf_dir):
+    """Of the true pairs of the documents, those among the first k candidates by name words."""
+    d, found = _name_candidates(spark, sf_dir)
+    return _round(blocking.recall_at_k(found, _content_truth(d), [1, 5, 10]), "recall")
+
+
+@query
+def pool_coverage(spark, sf_dir):
+    """The share of each language's pool that is among any query's first eight candidates by name words."""
+    d, found = _name_candidates(spark, sf_dir)
+    return _round(blocking.pool_coverage(found, _sides(d)[1], 8), "coverage")
+
+
 @query
 def candidate_union(spark, sf_dir):
     """Ten candidates by name words and by address words, joined."""
@@ -167,6 +199,24 @@ def retrieval_features(spark, sf_dir):
     return _round(pairs.retrieval_features(candidate_union(spark, sf_dir)), "bi_gap", "l_gap")
 
 
+@query
+def dense_scores(spark, sf_dir):
+    """Vectors as candidates of two lists, the second by label alone: every pair gets its cosine."""
+    q, p = _vectors(spark, sf_dir)
+    near = blocking.dense_topk(q, p, 5, skip_same=True)
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "label")
+    same = v.filter("id % 20 = 0").select(F.col("id").alias("q_id"), "label").join(v.select(F.col("id").alias("p_id"), "label"), "label").filter("q_id <> p_id")
+    w = Window.partitionBy("q_id").orderBy("p_id")
+    listed = same.select("q_id", "p_id", F.lit(0.5).alias("score"), (F.row_number().over(w) - 1).cast("long").alias("rank")).filter("rank < 5")
+    return pairs.dense_scores(blocking.candidate_union(near, listed, 5, 5), q, p)
+
+
+@query
+def bernoulli_sample(spark, sf_dir):
+    """A hash sample of 15 in 100 documents."""
+    return blocking.sample_by_hash(r.document_records(spark, sf_dir), 0.15).select("entity_id")
+
+
 @query
 def sampling(spark, sf_dir):
     """At most 20 documents of each language, in hash order."""
@@ -214,14 +264,33 @@ def partial_pairs(spark, sf_dir):
     return _name_pairs(spark, sf_dir).select("a", "b", F.round(kn.partial_ratio_udf("a", "b"), 6).alias("similarity"))
 
 
+def _part_pairs(spark, sf_dir):
+    """(q_id, p_id) of the part records of one country and number; the records of both sides."""
+    q, p = _sides(r.part_records(spark, sf_dir))
+    at = lambda x, name: x.select("country", F.split("address", " ")[0].alias("num"), F.col("entity_id").alias(name))
+    return at(q, "q_id").join(at(p, "p_id"), ["country", "num"]).select("q_id", "p_id"), q, p
+
+
 @query
 def pair_features(spark, sf_dir):
-    """All 50 record features of the TF-IDF candidates of the documents."""
-    q, p = _sides(r.document_records(spark, sf_dir))
-    f = pairs.pair_features(blocking.tfidf_topk(q, p, 5), q, p)
+    """All 50 record features of the part records that share country and number."""
+    f = pairs.pair_features(*_part_pairs(spark, sf_dir))
     return f.select("q_id", "p_id", *(F.round(c, 6).alias(c) for c in f.columns[2:]))
 
 
+@query
+def feature_blocks(spark, sf_dir):
+    """Two scorers' window features of one table of pairs, the second with a prefix, without the ranks."""
+    s = r.scored_pairs(spark, sf_dir).select(F.col("q").alias("q_id"), F.col("p").alias("p_id"), "s")
+
+    def block(score):
+        f = windows.logit_features(s.select(F.col("q_id").alias("q"), F.col("p_id").alias("p"), F.round(score, 2).alias("s")))
+        return _round(f.select(F.col("q").alias("q_id"), F.col("p").alias("p_id"), "ce_rank", "ce_gap_best", "ce_margin"), "ce_gap_best", "ce_margin")
+
+    both = pairs.feature_table([block(F.col("s") * 10 - 5), block(5 - F.col("s") * 10)], ["", "x"])
+    return pairs.without_features(both, ["ce_rank", "xce_rank"])
+
+
 # --- windows and decisions over lineitem
 
 @query
@@ -259,12 +328,14 @@ def stage2_context(spark, sf_dir):
 
 @query
 def stage2_similarities(spark, sf_dir):
-    """Context similarities of the documents' TF-IDF candidates."""
-    q, p = _sides(r.document_records(spark, sf_dir))
-    c = blocking.tfidf_topk(q, p, 8)
-    names = p.select(F.col("entity_id").alias("p_id"), F.array_join(t.name_tokens("name", strip_suffix=False), " ").alias("name"), t.norm_addr("address").alias("addr"), F.substring("entity_id", 1, 2).alias("src"))
-    out = pairs.context_similarities(c.join(names, "p_id").select(F.col("q_id").alias("q"), F.col("p_id").alias("p"), F.col("score").alias("s"), "name", "addr", "src"))
-    return _round(out, "s2_name_top1", "s2_addr_top1", "s2_name_conf", "s2_addr_conf")
+    """Context similarities of the part records at one address, scored by their ids."""
+    q, p = _sides(r.part_records(spark, sf_dir))
+    names = p.select(F.col("entity_id").alias("p_id"), "doc_id", F.array_join(t.name_tokens("name", strip_suffix=False), " ").alias("name"), t.norm_addr("address").alias("addr"), F.substring("entity_id", 1, 2).alias("src"))
+    own = pairs.query_name_counts(q, blocking.sample_by_hash(q, 0.5)).join(q.select(F.col("entity_id").alias("q_id"), F.col("doc_id").alias("q")), "q_id")
+    s = F.pmod(F.col("q") * 31 + F.col("doc_id") * 17, F.lit(1000)) / 1000
+    c = _part_matches(spark, sf_dir).join(names, "p_id").join(own, "q_id")
+    out = pairs.context_similarities(c.select(F.col("q_id").alias("q"), F.col("p_id").alias("p"), s.alias("s"), "name", "addr", "src", "q_name", "q_count"))
+    return _round(out, "s2_name_top1", "s2_addr_top1", "s2_name_conf", "s2_addr_conf", "s2_s1namecnt")
 
 
 @query
@@ -277,6 +348,13 @@ def one_owner(spark, sf_dir):
     return decide.one_owner(r.scored_pairs(spark, sf_dir))
 
 
+@query
+def one_owner_ids(spark, sf_dir):
+    """The same with the engine's own ids, and few distinct scores."""
+    named = r.scored_pairs(spark, sf_dir, ties=True).select(F.concat(F.lit("S1-"), "q").alias("q"), F.concat(F.lit("S2-"), "p").alias("p"), "s")
+    return _round(decide.one_owner(named), "s")
+
+
 @query
 def gate_then_owner(spark, sf_dir):
     return decide.one_owner(decide.gate_extra(r.scored_pairs(spark, sf_dir), 0.8, 0.5))
@@ -302,6 +380,31 @@ def gate_extra_tuner(spark, sf_dir):
     return _round(decide.tune_gate_extra(r.scored_pairs(spark, sf_dir), _line_truth(spark, sf_dir), _orders(spark, sf_dir), g, g), "macro_f05")
 
 
+@query
+def best_gate_extra(spark, sf_dir):
+    """The best point of a coarser grid; of equal ones the highest gate, then the highest extra."""
+    g = decide.grid(20, 95, 50)
+    tuned = decide.tune_gate_extra(r.scored_pairs(spark, sf_dir), _line_truth(spark, sf_dir), _orders(spark, sf_dir), g, g)
+    return _round(decide.best_row(tuned, F.desc("gate"), F.desc("extra")), "macro_f05")
+
+
+@query
+def country_thresholds(spark, sf_dir):
+    """The best threshold of each order status as a country, and that of a country nobody has seen."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("q"), F.col("o_orderstatus").alias("country"))
+    tuned = decide.tune_threshold(r.scored_pairs(spark, sf_dir), _line_truth(spark, sf_dir), orders, decide.grid(5, 95, 10))
+    return _round(decide.country_thresholds(tuned, spark.createDataFrame([("unseen",)], "country string")), "macro_f05")
+
+
+@query
+def positive_rate(spark, sf_dir):
+    """How many scored pairs are true, and how many queries have one among their pairs."""
+    s, truth = r.scored_pairs(spark, sf_dir), _line_truth(spark, sf_dir)
+    y = s.join(truth.withColumn("y", F.lit(1.0)), ["q", "p"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
+    per = y.groupBy("q").agg(F.sum("y").alias("hits"), F.count("*").alias("n"))
+    return _round(per.agg((F.sum("hits") / F.sum("n")).alias("positive_rate"), F.avg((F.col("hits") > 0).cast("double")).alias("hit_rate")), "positive_rate", "hit_rate")
+
+
 @query
 def target_rate(spark, sf_dir):
     n = _orders(spark, sf_dir).count()
@@ -318,7 +421,7 @@ def name_frequency(spark, sf_dir):
 @query
 def vocab_df30(spark, sf_dir):
     q, _ = _sides(r.part_records(spark, sf_dir))
-    return rules.vocabulary(q.select(t.core_key("name").alias("key")))
+    return rules.vocabulary(q.select("country", t.core_key("name").alias("key")))
 
 
 def _prepared(spark, sf_dir, pool_name=None, pool_address=None):
@@ -392,7 +495,7 @@ def _part_matches(spark, sf_dir):
 @query
 def descriptor_swap(spark, sf_dir):
     q, p = _prepared(spark, sf_dir)
-    return rules.descriptor_swap(_part_matches(spark, sf_dir), q, p)
+    return rules.descriptor_swap(_part_matches(spark, sf_dir), q, p, 10)
 
 
 @query
@@ -421,6 +524,17 @@ def rule_precision(spark, sf_dir):
     return rules.precision(found, _content_truth(r.document_records(spark, sf_dir)))
 
 
+@query
+def rule_harness(spark, sf_dir):
+    """Every address rule alone on a hash sample of 15 in 100 part records; the least query of equal name and address is the truth."""
+    q, p = _prepared(spark, sf_dir)
+    owner = q.groupBy("country", "name", "address").agg(F.min("entity_id").alias("q_id"))
+    truth = p.join(owner, ["country", "name", "address"]).select("q_id", F.col("entity_id").alias("p_id"))
+    found = {"exact": rules.exact_core, "typo": lambda a, b: rules.aligned(a, b, "typo")}
+    found |= {x: lambda a, b, x=x: rules.sole_at_address(a, b, x) for x in ("acro", "any")}
+    return rules.harness(found, q, p, truth)
+
+
 @query
 def rule_chain(spark, sf_dir):
     """Exact core, then typo tolerance, then words dropped, over the part records; each sees what is still unowned."""
@@ -435,6 +549,14 @@ def ops_profile(spark, sf_dir):
     return assemble.operation_profile(_part_matches(spark, sf_dir), q, p, q.count())
 
 
+@query
+def ops_drift(spark, sf_dir):
+    """The profile of the part matches beside that of each query's first one, one row a class."""
+    q, p = _sides(r.part_records(spark, sf_dir))
+    m, n = _part_matches(spark, sf_dir), q.count()
+    return assemble.profile_drift(assemble.operation_profile(m, q, p, n), assemble.operation_profile(m.filter("rank = 0"), q, p, n))
+
+
 # --- assembly
 
 @query
@@ -455,6 +577,98 @@ def candidate_assembly(spark, sf_dir):
     return assemble.candidate_set(a, b)
 
 
+@query
+def candidates_with_matches(spark, sf_dir):
+    """Candidates by name words, with every true pair that they lack."""
+    d, found = _name_candidates(spark, sf_dir, 3)
+    return assemble.with_matches(assemble.candidate_set(found), _content_truth(d))
+
+
+@query
+def candidate_report(spark, sf_dir):
+    d, found = _name_candidates(spark, sf_dir, 5)
+    return assemble.candidate_report(found, _sides(d)[0])
+
+
+@query
+def unowned_pool(spark, sf_dir):
+    d = r.document_records(spark, sf_dir)
+    return rules.unowned(_sides(d)[1], _content_truth(d)).select("entity_id")
+
+
+@query
+def append_ids(spark, sf_dir):
+    """Match lists with a rule's finds behind them, in order of its steps."""
+    d = r.document_records(spark, sf_dir)
+    truth = _content_truth(d).withColumn("odd", F.substring("p_id", -1, 1).isin(list("13579")))
+    lists = r.match_lists(_sides(d)[0].select(F.col("entity_id").alias("q_id")), truth.filter("odd"), [F.col("p_id")])
+    return r.append_matches(lists, truth.select("q_id", "p_id", F.when(F.col("p_id").startswith("S3"), 1).otherwise(2).alias("step")))
+
+
+@query
+def country_rows(spark, sf_dir):
+    """Each query's kept parts by falling score, only of queries that keep one."""
+    kept = decide.gate_extra(r.scored_pairs(spark, sf_dir), 0.8, 0.5)
+    return r.country_rows(kept.select(F.concat(F.lit("S1-"), "q").alias("q_id"), F.concat(F.lit("S2-"), "p").alias("p_id"), "s"))
+
+
+@query
+def text_blob(spark, sf_dir):
+    return r.text_blob(r.document_records(spark, sf_dir)).select("entity_id", "text")
+
+
+@query
+def fold_plain(spark, sf_dir):
+    """The fold of pair scorers, signs kept."""
+    return r.part_records(spark, sf_dir).select("doc_id", t.fold(F.concat("name", F.lit(" & Càfé + "), "address"), False).alias("folded"))
+
+
+@query
+def ciphered_names(spark, sf_dir):
+    return training.ciphered(r.part_records(spark, sf_dir).select("doc_id", "name"), ["name"])
+
+
+@query
+def tsv_roundtrip(spark, sf_dir):
+    """Part records written as gzipped tab-separated text, with quotes and empty fields, and read again."""
+    from kinweave.sources.checkpoints import shared_dir
+
+    d = r.part_records(spark, sf_dir)
+    names = ["entity_id", "business_name", "business_address", "country"]
+    out = d.select("entity_id", F.concat(F.lit('"'), "name", F.lit('" NA')), _some_blank_or(F.lit("")), "country").toDF(*names)
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    out.write.options(sep="\t", header=True, quote='"', escape='"', emptyValue="", compression="gzip").csv(path)
+    assemble.require_header(spark, path, names)
+    return r.read_records(spark, path)
+
+
+def _some_blank_or(other):
+    return F.when(F.col("doc_id") % 7 == 0, other).otherwise(F.col("address"))
+
+
+# --- hand-traced values of the functions whose inputs the tables lack
+
+@query
+def indic_text(spark, sf_dir):
+    """Transliterations and skeletons of planted names."""
+    rows = spark.createDataFrame([(x,) for x in INDIC], "text string")
+    return rows.select("text", kn.translit_udf("text").alias("latin"), kn.skeleton_udf("text").alias("skeleton"))
+
+
+@query
+def name_operations(spark, sf_dir):
+    """Edit classes of planted pairs of names."""
+    rows = spark.createDataFrame(NAME_PAIRS, "a string, b string")
+    return rows.select("a", "b", kn.name_operation_udf("a", "b").alias("operation"))
+
+
+@query
+def core_words(spark, sf_dir):
+    """Core words of planted names, from built-in functions and from the kernel alike."""
+    rows = spark.createDataFrame([(x,) for x in CORE_NAMES], "name string")
+    return rows.select("name", F.array_join(t.split_core("name")["core"], " ").alias("core"), F.array_join(t.split_core("name")["legal"], " ").alias("legal"))
+
+
 @query
 def validate_output(spark, sf_dir):
     d = r.document_records(spark, sf_dir)
@@ -533,7 +747,10 @@ def gbt_two_stage(spark, sf_dir):
     """Two-stage scores of the held-out tenth of the labelled documents."""
     rows = _labelled(spark, sf_dir)
     digit = models.split_digit()
-    out = models.two_stage(rows.filter(digit != 0), rows.filter(digit == 0), _FEATURES, lambda x: windows.order_statistics(x), ["s2_p1", "s2_sump"], trees=10, depth=4)
+    out = models.two_stage(
+        rows.filter(digit != 0), rows.filter(digit == 0), _FEATURES, lambda x: windows.order_statistics(x), ["s2_p1", "s2_sump"],
+        first={"rate": 0.1}, second={"rate": 0.05}, stop=(2, 1), trees=10, depth=4,
+    )
     return out.select("q", "y", "s1", "s")
 
 
@@ -544,6 +761,21 @@ def self_training(spark, sf_dir):
     return models.self_train(rows.filter(digit < 5), rows.filter(digit >= 5), _FEATURES, trees=8, depth=3).select("q", "y", "s")
 
 
+@query
+def encoded_topk(spark, sf_dir):
+    """Documents of one language by an encoder trained on the true pairs of the queries whose id does not end in 0: the five nearest."""
+    d = r.document_records(spark, sf_dir)
+    q, p = _sides(d)
+    text = r.text_blob(d).select("entity_id", "text")
+    held = q.filter("doc_id % 10 = 0").select(F.col("entity_id").alias("q_id"))
+    known = training.positives(_content_truth(d), 2, held).join(q.select(F.col("entity_id").alias("q_id"), "country"), "q_id")
+    for side in "qp":
+        known = known.join(text.select(F.col("entity_id").alias(f"{side}_id"), F.col("text").alias(f"{side}_text")), f"{side}_id")
+    model = encoders.train_encoder(known, rounds=2)
+    v = encoders.encode(r.text_blob(d), model).select(F.col("entity_id").alias("id"), "country", "embedding")
+    return blocking.dense_topk(v.filter("id like 'S1-%'"), v.filter("id not like 'S1-%'"), 5)
+
+
 # --- streaming
 
 @query
@@ -553,7 +785,5 @@ def incremental_link(spark, sf_dir):
 
     q, _ = _sides(r.document_records(spark, sf_dir))
     docs = linker.read_stream(spark, f"{sf_dir}/documents.parquet")
-    words = F.split(F.col("text"), " ")
-    src = (F.pmod(F.col("doc_id"), F.lit(3)) + 1).cast("int")
-    pool = docs.filter("doc_id % 3 <> 0").select(F.concat(F.lit("S"), src, F.lit("-"), F.col("doc_id")).alias("entity_id"), F.array_join(F.slice(words, 1, 5), " ").alias("name"))
+    pool = r.as_document_records(docs).filter("src > 1")
     return linker.run_once(linker.link_stream(pool, q), "incremental_link")

@@ -48,28 +48,67 @@ def match_lists(queries: DataFrame, pairs: DataFrame, order: list[Column], colum
     return queries.select("q_id").join(lists, "q_id", "left").withColumn(column, F.coalesce(column, F.lit("")))
 
 
+def append_matches(lists: DataFrame, found: DataFrame, column: str = "matched_entity_ids") -> DataFrame:
+    """Comma lists (q_id, ids) with the ids of ``found`` (q_id, p_id, step) behind them: by step, then id, each once."""
+    more = found.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("step", "p_id"))).alias("more"))
+    old = F.filter(F.split(F.coalesce(column, F.lit("")), ","), lambda x: x != "")
+    new = F.coalesce(F.transform("more", lambda x: x["p_id"]), F.array().cast("array<string>"))
+    return lists.join(more, "q_id", "left").select("q_id", F.array_join(F.array_distinct(F.concat(old, new)), ",").alias(column))
+
+
+def country_rows(scored: DataFrame) -> DataFrame:
+    """(q_id, ids), only for queries with a match, ids by falling score; to be written without a header, queries in order."""
+    ranked = scored.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "p_id"))).alias("o"))
+    return ranked.select("q_id", F.array_join(F.transform("o", lambda x: x["p_id"]), ",").alias("ids"))
+
+
+def write_rows(rows: DataFrame, path: str) -> None:
+    """The rows of :func:`country_rows`, sorted by query, without a header."""
+    write_tsv(rows.orderBy("q_id"), path, header=False)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Decisions and reports, one JSON object a line."""
+    df.write.mode("overwrite").json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def text_blob(records: DataFrame, words_for_signs: bool = True) -> DataFrame:
+    """(entity_id, country, text): the folded name and address as one text, as encoders and pair scorers read it."""
+    from kinweave.functions.text import fold
+
+    return records.select("entity_id", "country", F.concat_ws(" | ", fold("name", words_for_signs), fold("address", words_for_signs)).alias("text"))
+
+
 def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.mode("overwrite").options(sep="\t", header=header, quote='"', escape='"', emptyValue="").csv(path)
 
 
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table as records: source by doc_id % 3, name the first five words, address the next twelve."""
+    """The documents table as records: source by doc_id % 3, name the first five words, address all the others."""
+    return as_document_records(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def as_document_records(docs: DataFrame) -> DataFrame:
     words = F.split(F.col("text"), " ")
     src = (F.pmod(F.col("doc_id"), F.lit(3)) + 1).cast("int")
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    return docs.select(
         "doc_id", F.concat(F.lit("S"), src, F.lit("-"), F.col("doc_id")).alias("entity_id"), src.alias("src"),
-        F.array_join(F.slice(words, 1, 5), " ").alias("name"), F.array_join(F.slice(words, 6, 12), " ").alias("address"),
+        F.array_join(F.slice(words, 1, 5), " ").alias("name"), F.array_join(F.slice(words, F.lit(6), F.greatest(F.size(words) - 5, F.lit(0))), " ").alias("address"),
         F.col("lang").alias("country"), F.md5(F.col("text").cast("binary")).alias("content"),
     )
 
 
 def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part table as records: a number and a street from size and brand."""
+    """The part table as records: a number and a street from size and brand; two countries, by type."""
     src = (F.pmod(F.col("p_partkey"), F.lit(3)) + 1).cast("int")
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(
         F.col("p_partkey").alias("doc_id"), F.concat(F.lit("S"), src, F.lit("-"), F.col("p_partkey")).alias("entity_id"), src.alias("src"),
         F.col("p_name").alias("name"), F.concat(F.col("p_size"), F.lit(" "), F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit(""))), F.lit(" street")).alias("address"),
-        F.col("p_type").alias("country"),
+        F.when(F.col("p_type").isin("SMALL", "MEDIUM", "LARGE"), F.lit("size")).otherwise(F.lit("line")).alias("country"),
     )
 
 
