@@ -125,3 +125,19 @@ def test_partial_ratio_tries_every_piece(a, b):
 def test_registered(spark):
     kn.register(spark)
     assert spark.sql("SELECT kin_ratio('acme', 'acne')").first()[0] == 0.75
+
+
+def test_core_fold_is_the_kernels(spark):
+    """Characters between letters: the built-in fold and the kernel agree on the words they leave."""
+    import sys
+
+    from pyspark.sql import functions as F
+
+    from kinweave.functions import kernels as kn
+    from kinweave.functions import text as t
+
+    codes = [c for c in [*range(0x21, 0xD800), *range(0xE000, 0x10000), *range(0x1D400, 0x1D800)] if not chr(c).isspace() and chr(c) != "�" and len(chr(c).lower()) == 1]
+    rows = spark.createDataFrame([(f"ab{chr(c)}cd ef",) for c in codes], "name string")
+    got = {x.name: x.core for x in rows.select("name", t.split_core("name")["core"].alias("core")).collect()}
+    bad = [n for n in got if got[n] != (kn.core_split(n) or (None,))[0]]
+    assert sys.maxunicode and len(bad) <= 0.001 * len(codes), bad[:20]
