@@ -259,18 +259,11 @@ def _vectors(docs: DataFrame, wanted: DataFrame, model, doc_id: str, text: str)
     return add_columns(rows, kernel, "v binary", "text", lower=True, limit=_LIMIT).select("id", "v")
 
 
-def _beside(pairs: DataFrame, values: DataFrame, side: str, name: str, counted: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b, ...) with the value of one side; ``values`` is (id, value), and a node may have very many pairs."""
-    counts = (pairs if counted is None else counted).groupBy(side).agg(F.count("*").alias("n"))
-    right = values.select(F.col("id").alias(side), F.col(values.columns[1]).alias(name))
-    return join_spread(pairs, right, [side], ["b" if side == "a" else "a"], counts)
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, model, doc_id: str, text: str, threshold: float) -> DataFrame:
     """(a, b, similarity) of the pairs at or above the threshold."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     v = _vectors(docs, wanted, model, doc_id, text)
-    both = _beside(_beside(pairs, v, "a", "va"), v, "b", "vb", pairs)
+    both = pairs.join(v.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(v.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
 
     def judge(batches):
         for batch in batches:
@@ -318,18 +311,23 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     model = spark.sparkContext.broadcast(Model(frequencies(docs, text)))
     signed = cut(_signed(docs, model, doc_id, text))
     node = cut(signed.groupBy("h", "g").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.count("*").alias("n")))
-    named = cut(join_spread(signed.select("id", "h", "g"), node.select("h", "g", "n", F.col("id").alias("node")), ["h", "g"], ["id"]).select("id", "node"))
+    named = join_spread(signed.select("id", "h", "g"), node.select("h", "g", "n", F.col("id").alias("node")), ["h", "g"], ["id"]).select("id", "node")
+    named = cut(named)
     bands = F.array(*(F.xxhash64(F.lit(k), F.slice("sig", k * ROWS + 1, ROWS)) for k in range(BANDS)))
     member = node.select("id", F.posexplode(bands).alias("band", "key"))
     bucket = member.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).filter("low < high")
     member = cut(join_spread(member, cut(bucket), ["band", "key"], ["id"]).drop("n"))
     pairs = member.select(F.col("low").alias("a"), F.col("id").alias("b")).unionByName(member.select(F.col("id").alias("a"), F.col("high").alias("b")))
-    pairs = cut(pairs.filter("a < b").distinct())
+    pairs = pairs.filter("a < b").distinct()
     sig = node.select("id", "sig")
-    pairs = _beside(_beside(pairs, sig, "a", "sa"), sig, "b", "sb", pairs)
+    pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     pairs = cut(pairs.filter(_agree("sa", "sb", 0.55)).select("a", "b").distinct())
     links = _verified(pairs, docs, model, doc_id, text, threshold).select("a", "b").distinct()
-    links = cut(links.unionByName(_same_id(named)))
+    several = cut(named.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).filter("a < z"))
+    if not several.isEmpty():  # ids with several texts: their nodes are linked
+        same = join_spread(named, several, ["id"], ["node"]).filter("a < node").select("a", F.col("node").alias("b"))
+        links = links.unionByName(same.distinct())
+    links = cut(links)
     root = cut(components(links))
 
     # buckets that still hold several components
@@ -358,12 +356,6 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
 
 
-def _same_id(named: DataFrame) -> DataFrame:
-    """(a, b): links of each id's least node to its others; ``named``: (id, node)."""
-    several = named.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).filter("a < z")
-    return join_spread(named, several, ["id"], ["node"]).filter("a < node").select("a", F.col("node").alias("b")).distinct()
-
-
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_broadcast: int = 500_000) -> DataFrame:
     """One document of each class stays: the one of least id (and every row without an id).
 
