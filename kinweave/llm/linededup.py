@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import cut, join_spread, stored, table
+from kinweave.llm.common import cut, join_spread, table
 
 #: The characters of ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -66,7 +66,7 @@ def repeated_lines(each: DataFrame, min_docs: int = 2) -> DataFrame:
 
 def _judged(docs: DataFrame, min_chars: int, min_docs: int, doc_id: str, text: str) -> DataFrame:
     """(row, lines, kept): each row of ``docs`` as a struct, its lines, and those that stay."""
-    each = stored(_keys(docs, min_chars, doc_id, text))
+    each = cut(_keys(docs, min_chars, doc_id, text))
     again = cut(repeated_lines(each, min_docs))
     drop = join_spread(each, again, ["h", "g"], ["d", "t"]).filter("owner <> d").groupBy("d", "t").agg(F.collect_set("h").alias("h"))
     row = docs.select(F.struct("*").alias("row"), *_row_key(doc_id, text)).join(drop, ["d", "t"], "left")

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import stored, table
+from kinweave.llm.common import cut, table
 
 GOLDEN = 0.6180339887498949
 WEIGHTS = (3, 1, 2)
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, block: int = 4096, weights: tuple[int, ...] = WEIGHTS,
     in that slot of the mix.
     documents: (doc_id, source, size, copies, source_size, target, place, tie).
     """
-    sized = stored(sizes(docs, text, doc_id, source))
+    sized = cut(sizes(docs, text, doc_id, source))
     targets = source_targets(sized, weights, total_share, max_epochs)
     named = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     named = named.withColumn("all", F.col("size") * F.col("copies"))
