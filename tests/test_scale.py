@@ -41,6 +41,7 @@ def within(spark, seconds, f):
 CROWDED = {
     "rule_chain": {(*SAME, 1)},
     "typo_tolerant": {(*SAME, "typo")},
+    "words_added": {(*SAME, "add")},
 }
 
 
