@@ -42,6 +42,7 @@ CROWDED = {
     "rule_chain": {(*SAME, 1)},
     "typo_tolerant": {(*SAME, "typo")},
     "words_added": {(*SAME, "add")},
+    "acronym": {(*SAME, "acro")},
 }
 
 
