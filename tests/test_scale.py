@@ -43,6 +43,7 @@ CROWDED = {
     "typo_tolerant": {(*SAME, "typo")},
     "words_added": {(*SAME, "add")},
     "acronym": {(*SAME, "acro")},
+    "any_relation": {(*OTHER, "any")},
 }
 
 
