@@ -44,6 +44,7 @@ CROWDED = {
     "words_added": {(*SAME, "add")},
     "acronym": {(*SAME, "acro")},
     "any_relation": {(*OTHER, "any")},
+    "domain": {(*SAME, "domain")},
 }
 
 
