@@ -45,6 +45,7 @@ CROWDED = {
     "acronym": {(*SAME, "acro")},
     "any_relation": {(*OTHER, "any")},
     "domain": {(*SAME, "domain")},
+    "pseudo_name": {(*SAME, "pseudo"), (*OTHER, "pseudo")},
 }
 
 
