@@ -53,3 +53,12 @@ CROWDED = {
 def test_crowded_address(spark, crowded, name):
     got = within(spark, 60, lambda: lq.QUERIES[name](spark, crowded).collect())
     assert {tuple(x) for x in got} == CROWDED[name]
+
+
+def test_crowded_harness(spark, crowded):
+    import hashlib
+
+    drawn = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16) < int(0.15 * 2**32)
+    want = {(x, 1) for x in ("exact", "typo") if drawn(SAME[1])} | {("any", 1) for _ in [0] if drawn(OTHER[1])}
+    got = within(spark, 60, lambda: lq.QUERIES["rule_harness"](spark, crowded).collect())
+    assert {(x.rule, x.n) for x in got} == want
