@@ -46,6 +46,7 @@ CROWDED = {
     "any_relation": {(*OTHER, "any")},
     "domain": {(*SAME, "domain")},
     "pseudo_name": {(*SAME, "pseudo"), (*OTHER, "pseudo")},
+    "words_dropped": {(*SAME, "del")},
 }
 
 
