@@ -78,3 +78,26 @@ def test_pair_features_compare_texts_once(spark):
     rows = got.collect()
     assert len(rows) == 1600 and len({x[2:] for x in rows}) == 4
     assert sorted(map(tuple, pairs.pair_features(met, q, p, digits=6, small=0).collect())) == sorted(map(tuple, rows))
+
+
+def test_context_makes_no_pairs(spark):
+    from kinweave.functions.kernels import token_sort_ratio
+    from kinweave.operators import pairs
+
+    texts = [("Acme", "1 a st"), ("Acme", ""), ("Acmes", "1 a st"), ("Other Co", "2 b st"), ("Co Other", "1 b st")]
+    scored = [(q, f"S{2 + c % 2}-{c}", (c * 3 + q) % 7 / 6, *texts[(c + q) % 5], f"S{2 + c % 2}") for q in range(12) for c in range(q)]
+    got = pairs.context_similarities(spark.createDataFrame(scored, "q long, p string, s double, name string, addr string, src string"))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = {(x.q, x.p): x for x in got.collect()}
+    assert len(rows) == len(scored)
+    for q in range(12):
+        own = sorted((x for x in scored if x[0] == q), key=lambda x: (-x[2], x[1]))
+        for i, (_, p, _, name, addr, src) in enumerate(own):
+            others = own[:i] + own[i + 1 :]
+            ref, conf = others[:1], [x for x in others if x[2] >= 0.5]
+            place = lambda x, addr=addr: token_sort_ratio(addr, x[4]) if addr and x[4] else -1.0
+            most = lambda found, f: max(map(f, found), default=-1.0)
+            want = [most(ref, lambda x, name=name: token_sort_ratio(name, x[3])), most(ref, place), most(ref, lambda x, src=src: float(x[5] == src))]
+            want += [most(conf, lambda x, name=name: token_sort_ratio(name, x[3])), most(conf, place)]
+            want += [sum(x[3] == name for x in others), sum(x[5] == src for x in conf), sum(x[3] == name for x in conf)]
+            assert list(rows[q, p][3:11]) == pytest.approx(want) and rows[q, p].s2_cempty == (addr == "") and rows[q, p].s2_t1empty == (own[0][4] == "")
