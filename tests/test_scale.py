@@ -101,3 +101,14 @@ def test_context_makes_no_pairs(spark):
             want += [most(conf, lambda x, name=name: token_sort_ratio(name, x[3])), most(conf, place)]
             want += [sum(x[3] == name for x in others), sum(x[5] == src for x in conf), sum(x[3] == name for x in conf)]
             assert list(rows[q, p][3:11]) == pytest.approx(want) and rows[q, p].s2_cempty == (addr == "") and rows[q, p].s2_t1empty == (own[0][4] == "")
+
+
+def test_encoder_reads_a_text_once(spark, monkeypatch):
+    from kinweave.operators import encoders
+
+    read, plain = [], encoders.grams
+    monkeypatch.setattr(encoders, "grams", lambda text, size: read.append(text) or plain(text, size))
+    known = spark.createDataFrame([("fr", f"name {i % 5}", f"name {i % 5} sarl") for i in range(40)], "country string, q_text string, p_text string")
+    model = encoders.train_encoder(known, rounds=3)
+    assert len(read) == len(set(read)) == 10
+    assert model.encode(["name 1"]).shape == (1, 32)
