@@ -65,6 +65,44 @@ def test_crowded_harness(spark, crowded):
     assert {(x.rule, x.n) for x in got} == want
 
 
+#: Queries that read an address once, not once a record
+READ_ONCE = ["typo_tolerant"]
+
+
+@pytest.mark.parametrize("name", READ_ONCE)
+def test_addresses_are_read_once(spark, crowded, monkeypatch, name):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from kinweave.functions import kernels as kn
+
+    read = spark.sparkContext.accumulator(0)
+
+    def number(a):
+        read.add(len(a))
+        return a.map(lambda x: kn.parse_street(x)[0])
+
+    number.__annotations__ = dict.fromkeys(("a", "return"), pd.Series)
+    monkeypatch.setattr(kn, "street_number_udf", F.pandas_udf(number, "string"))
+    got = lq.QUERIES[name](spark, crowded).collect()
+    assert name not in CROWDED or {tuple(x) for x in got} == CROWDED[name]
+    assert 0 < read.value <= 6  # three addresses a side
+
+
+def test_names_are_read_once(spark):
+    from kinweave.operators import rules
+
+    records = spark.createDataFrame([(f"S1-{i}", "Acme Ltd" if i % 3 else None, None if i % 5 else "12 Main Street") for i in range(40)], "entity_id string, name string, address string")
+    got = rules.prepared(records)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    # words are read where names have become distinct
+    reading = [x for x in plan if "regexp_extract_all" in x]
+    assert reading and all("Aggregate [_name" in x for x in reading)
+    rows = {x.entity_id: x for x in got.collect()}
+    assert len(rows) == 40 and rows["S1-0"].name is None and rows["S1-0"].key is None and rows["S1-0"].legal == []
+    assert rows["S1-1"].key == ["acme"] and rows["S1-1"].address is None and rows["S1-1"].blank and rows["S1-0"].num == "12"
+
+
 def test_pair_features_compare_texts_once(spark):
     from kinweave.operators import pairs
 
