@@ -66,7 +66,7 @@ def test_crowded_harness(spark, crowded):
 
 
 #: Queries that read an address once, not once a record
-READ_ONCE = ["typo_tolerant", "words_added", "acronym", "any_relation", "domain", "pseudo_name"]
+READ_ONCE = ["typo_tolerant", "words_added", "acronym", "any_relation", "domain", "pseudo_name", "words_dropped"]
 
 
 @pytest.mark.parametrize("name", READ_ONCE)
