@@ -66,7 +66,7 @@ def test_crowded_harness(spark, crowded):
 
 
 #: Queries that read an address once, not once a record
-READ_ONCE = ["typo_tolerant", "words_added", "acronym", "any_relation", "domain", "pseudo_name", "words_dropped"]
+READ_ONCE = ["typo_tolerant", "words_added", "acronym", "any_relation", "domain", "pseudo_name", "words_dropped", "rule_harness"]
 
 
 @pytest.mark.parametrize("name", READ_ONCE)
@@ -103,6 +103,22 @@ def test_names_are_read_once(spark):
     assert rows["S1-1"].key == ["acme"] and rows["S1-1"].address is None and rows["S1-1"].blank and rows["S1-0"].num == "12"
 
 
+def test_harness_draws_its_sample_once(spark):
+    from kinweave.operators import rules
+
+    q, p = (rules.prepared(spark.createDataFrame([(f"S{i}-{n}", f"Acme {n}", f"{n} Main Street") for n in range(1, 40)], "entity_id string, name string, address string")) for i in (1, 2))
+    plans = []
+
+    def rule(a, b):
+        plans.append(b._jdf.queryExecution().optimizedPlan().toString())
+        return rules.exact_core(a, b)
+
+    rows = rules.harness({"exact": rule}, q, p, q.selectExpr("entity_id as q_id", "replace(entity_id, 'S1', 'S2') as p_id"), 0.5).collect()
+    assert [(x.kind, x.precision) for x in rows] == [("addr", 1.0)] and 0 < rows[0].n < 39
+    # the rule reads drawn records; it does not hash the pool again
+    assert len(plans) == 1 and "md5" not in plans[0]
+
+
 def test_pair_features_compare_texts_once(spark):
     from kinweave.operators import pairs
 
