@@ -89,6 +89,48 @@ def test_addresses_are_read_once(spark, crowded, monkeypatch, name):
     assert 0 < read.value <= 6  # three addresses a side
 
 
+#: Queries that keep no table with a row a record
+COUNTED = ["words_added"]
+
+
+@pytest.mark.parametrize("name", COUNTED)
+def test_records_are_counted_not_kept(spark, crowded, monkeypatch, name):
+    from kinweave.sources import checkpoints
+
+    kept, cut = [], checkpoints.cut
+
+    def counted(df):
+        out = cut(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(checkpoints, "cut", counted)
+    monkeypatch.setattr(lq, "cut", counted)
+    got = lq.QUERIES[name](spark, crowded)
+    # the tables that are kept hold texts, at most 68 a side, of 60,004 records; a sort by text would read every record
+    assert {tuple(x) for x in got.collect()} == CROWDED[name]
+    assert kept and max(kept) <= 140
+    assert "entity_id" not in got.columns
+
+
+@pytest.mark.parametrize("rule", ["del", "add", "typo", "domain", "acro", "pseudo", "any"])
+def test_gathered_records_give_the_rows_of_records(spark, rule):
+    """Also where ids come twice, with the same text or another, and where texts are null or empty."""
+    from kinweave.operators import rules
+
+    kind = "entity_id string, name string, address string, country string"
+    at = lambda i: f"{i} Main Street"
+    words = ["Acme Works", "Blue Ring", "Acme", "Acme Works Paris", "AW", "acmeworks.com", "Zorvex", None, "", "Acme Wroks"]
+    q = [(f"S1-{i}", words[i % 4], at(i % 23), "fr") for i in range(20)] + [("S1-3", words[3], at(3), "fr"), ("S1-5", "Acme", at(40), "fr")]
+    q += [("S1-50", None, at(50), "fr"), ("S1-51", "Acme", None, "fr"), ("S1-52", "Acme", at(1), None)]
+    p = [(f"S2-{i}", words[i % 10], at(i % 23 if i % 9 else 50), "fr") for i in range(80)] + [(f"S2-{i}", words[i % 10], at(i % 23), "fr") for i in (4, 6)]
+    p += [("S2-92", "AW", at(8), "fr"), ("S2-7", "Zorvex", at(8), "fr"), ("S2-11", "Acme", at(19), "fr"), ("S2-90", "Acme", None, "fr"), ("S2-91", "Blue Ring", at(2), None)]
+    q, p = spark.createDataFrame(q, kind), spark.createDataFrame(p, kind)
+    run = lambda a, b: rules.aligned(a, b, rule) if rule in ("del", "add", "typo") else rules.sole_at_address(a, b, rule)
+    want = sorted(map(tuple, run(rules.prepared(q), rules.prepared(p)).collect()))
+    assert want and sorted(map(tuple, run(*rules.gathered(q, p)).collect())) == want
+
+
 def test_names_are_read_once(spark):
     from kinweave.operators import rules
 
