@@ -90,7 +90,7 @@ def test_addresses_are_read_once(spark, crowded, monkeypatch, name):
 
 
 #: Queries that keep no table with a row a record
-COUNTED = ["words_added", "acronym", "any_relation", "domain", "pseudo_name"]
+COUNTED = ["words_added", "acronym", "any_relation", "domain", "pseudo_name", "words_dropped"]
 
 
 @pytest.mark.parametrize("name", COUNTED)
