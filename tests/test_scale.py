@@ -176,6 +176,38 @@ def test_pair_features_compare_texts_once(spark):
     assert sorted(map(tuple, pairs.pair_features(met, q, p, digits=6, small=0).collect())) == sorted(map(tuple, rows))
 
 
+def test_block_features_are_pair_features(spark, monkeypatch):
+    from kinweave.operators import pairs
+
+    kind = "entity_id string, name string, address string, country string, num int"
+    texts = [("Acme Ltd", "12 Main St"), ("Acme", ""), (None, "12 Main Street"), ("Other Co", None), ("Acme Ltd", "7 Main St, Hartford, CT")]
+    made = lambda src, n: [(f"S{src}-{i}", *texts[(i * 3 + src) % 5], "de" if i % 4 else "fr", None if i % 11 == 5 else i % 3) for i in range(n)]
+    q, p = spark.createDataFrame(made(1, 30), kind), spark.createDataFrame(made(2, 40), kind)
+    met = q.selectExpr("entity_id as q_id", "country", "num").join(p.selectExpr("entity_id as p_id", "country", "num"), ["country", "num"])
+    sure = lambda df: sorted(map(tuple, df.collect()))
+    want = pairs.pair_features(met, q, p, digits=6)
+    assert len(rows := sure(want)) == met.count() > 150
+    got = pairs.block_features(q, p, ["country", "num"], digits=6)
+    assert got.columns == want.columns and sure(got) == rows
+    # many pages of a block; features joined by text
+    monkeypatch.setattr(pairs, "ROW", 2)
+    monkeypatch.setattr(pairs, "PAGE", 3)
+    assert sure(pairs.block_features(q, p, ["country", "num"], digits=6, small=12)) == rows
+    assert sure(pairs.block_features(q, p, ["country", "num"], digits=6, small=0)) == rows
+    assert sure(pairs.block_features(q, p.limit(0), ["country", "num"])) == []
+
+
+def test_pair_features_of_a_crowded_block(spark, tmp_path):
+    """200 million pairs of records of 1,024 pairs of texts: texts are found and compared without pairs of records."""
+    words = [f"{a} {b}" for a in ("hot", "cold", "old", "large") for b in ("bolt", "ring", "plate", "gear", "valve", "screw", "nut", "pipe")]
+    parts = spark.range(30_000).selectExpr(
+        "id as p_partkey", f"array({', '.join(map(repr, words))})[cast(id div 3 % 32 as int)] as p_name", "'Brand#1' as p_brand", "'SMALL' as p_type", "1 as p_size"
+    )
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    got = within(spark, 120, lambda: lq.pair_features(spark, str(tmp_path)).groupBy().agg({"*": "count", "n_ratio": "max"}).collect())
+    assert sorted(got[0]) == [1.0, 10_000 * 20_000]
+
+
 def test_context_makes_no_pairs(spark):
     from kinweave.functions.kernels import token_sort_ratio
     from kinweave.operators import pairs
